@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, media, packing, pii, quality, secretscan, toxicity, warc
+from tessera.llm import bpe, media, ngramlm, packing, pii, quality, secretscan, toxicity, warc
 from tessera.llm.common import table
 
 
@@ -28,6 +28,10 @@ def _span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     return found.select("doc_id", *map(count, kinds), F.sha2(_joined(spans, True), 256).alias("base_sha256"), _joined(spans, False).alias("spans"))
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramlm.score(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -73,6 +77,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_packing, op4_toxicity, op5_warc, op6_quality, op7_secrets, op8_bpe, op9_media, op10_pii)
+    f.__name__: f for f in (op1_lm_score, op2_packing, op4_toxicity, op5_warc, op6_quality, op7_secrets, op8_bpe, op9_media, op10_pii)
 }
 ORACLES: dict[str, str] = {}
