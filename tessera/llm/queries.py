@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, media, ngramlm, packing, pii, quality, secretscan, toxicity, warc
+from tessera.llm import bpe, jaccard, media, ngramlm, packing, pii, quality, secretscan, toxicity, warc
 from tessera.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.judge(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -77,6 +81,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm_score, op2_packing, op4_toxicity, op5_warc, op6_quality, op7_secrets, op8_bpe, op9_media, op10_pii)
+    f.__name__: f for f in (op1_lm_score, op2_packing, op3_jaccard_join, op4_toxicity, op5_warc, op6_quality, op7_secrets, op8_bpe, op9_media, op10_pii)
 }
 ORACLES: dict[str, str] = {}
