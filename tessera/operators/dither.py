@@ -90,6 +90,8 @@ def floyd_steinberg(pixels: DataFrame, palette: DataFrame, directives: DataFrame
     else:
         full = pixels.select("image_id", "pos", "y", "x", *E.CHANNELS).join(directives.select("image_id", "pos", "region", "barrier", "num", "den"), ["image_id", "pos"])
 
+    plain = directives is None
+
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({"image_id": pa.array([], pa.int64()), "pos": pa.array([], pa.int64()), "idx": pa.array([], pa.int64())})
@@ -98,7 +100,7 @@ def floyd_steinberg(pixels: DataFrame, palette: DataFrame, directives: DataFrame
         grid = lambda c: left[c].to_numpy().reshape(-1, w)
         rgba = np.stack([grid(c) for c in E.CHANNELS], -1)
         entries = np.stack([right[c].to_numpy() for c in E.CHANNELS], -1)
-        strength = None if directives is None else (grid("num"), grid("den"), np.array(left["region"].to_pylist()).reshape(-1, w), np.array(left["barrier"].to_pylist()).reshape(-1, w))
+        strength = None if plain else (grid("num"), grid("den"), np.array(left["region"].to_pylist()).reshape(-1, w), np.array(left["barrier"].to_pylist()).reshape(-1, w))
         idx = diffuse(rgba, entries, strength, serpentine=serpentine)
         return pa.table({"image_id": left["image_id"], "pos": left["pos"], "idx": pa.array(idx.ravel(), pa.int64())})
 
