@@ -58,7 +58,7 @@ class Pieces(dict):
 
 
 class SpeculativeBpe:
-    def __init__(self, spec: bytes, most_cached: int = 800_000):
+    def __init__(self, spec: bytes, most_cached: int = 400_000):
         got = json.loads(spec)
         model = got["model"]
         back = byte_alphabet()

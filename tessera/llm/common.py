@@ -42,7 +42,7 @@ def fields(ddl: str) -> list[T.StructField]:
     return [T.StructField(name, _type(kind)) for name, kind in (part.split(" ") for part in ddl.split(", "))]
 
 
-def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of a slice stay near ``most_bytes``; a single row is never cut."""
     n = batch.num_rows
     if batch.column(column).nbytes <= most_bytes:

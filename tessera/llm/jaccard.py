@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import as_bytes, checkpoint, fields, map_documents
+from tessera.llm.common import as_bytes, checkpoint, fields, map_documents, slices
 from tessera.llm.ngramlm import HASHES, mix
 
 U64 = np.uint64
@@ -279,7 +279,7 @@ def _token_order(docs: DataFrame, n: int, text_col: str) -> np.ndarray:
 
     def sketch(batches):
         cells, seen = np.zeros(1 << SKETCH_BITS, np.uint32), False
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
             for text in as_bytes(batch.column(0)):
                 at = (shingles(text, n) >> U64(64 - SKETCH_BITS)).astype(np.int64)
                 seen |= len(at) > 0
@@ -353,7 +353,7 @@ def _sets(docs: DataFrame, n: int, bits: np.ndarray, id_col: str, text_col: str)
 
     def run(batches):
         packed = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             at = _filter_bits(batch.column(0).to_numpy(zero_copy_only=False))
             rows = np.flatnonzero(packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
             made = [t for t in (shingles(x, n) for x in as_bytes(batch.column(1).take(pa.array(rows)))) if len(t)]

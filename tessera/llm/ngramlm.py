@@ -39,7 +39,7 @@ class Hashes(dict):
     """64-bit hash of each word; forgets all when full."""
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = made = hashlib.blake2b(word, digest_size=8).digest()
         return made
@@ -76,7 +76,7 @@ def contexts(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def shrink(x: np.ndarray) -> bytes:
     """Bytes of an integer array, plane by plane, compressed."""
-    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes(), 1)
 
 
 def grow(data: bytes, kind: str) -> np.ndarray:
