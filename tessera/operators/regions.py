@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from tessera.functions import expr as E
 
 P = ["p0", "p1", "p2", "p3"]
-ROW = Window.partitionBy("image_id", "y").orderBy("x")
-COLUMN = Window.partitionBy("image_id", "x").orderBy("y")
 #: Least step of a hard edge, its ratio to the step beyond, alpha of a shadow.
 EDGE_STEP, EDGE_RATIO, SHADOW = 1020, 4, 64
 #: Class, region, barrier, strength as a ratio.
@@ -18,8 +16,18 @@ DIRECTIVES = (
     ("texture", "none", False, 0, 1), ("gradient-opaque", "dither", False, 1, 1), ("gradient-alpha", "dither", False, 3, 4), ("soft-shadow", "dither", False, 1, 2),
 )
 BANDING, GRAIN = ("gradient-opaque", "gradient-alpha", "soft-shadow"), ("texture", "flat")
+
+
+def along_row():
+    return Window.partitionBy("image_id", "y").orderBy("x")
+
+
+def along_column():
+    return Window.partitionBy("image_id", "x").orderBy("y")
+
+
 #: Sides in the order of ties: left, right, up, down.
-SIDES = (("on_left", ROW, -1), ("on_right", ROW, 1), ("above", COLUMN, -1), ("below", COLUMN, 1))
+SIDES = (("on_left", along_row, 1), ("on_right", along_row, -1), ("above", along_column, 1), ("below", along_column, -1))
 
 
 def _featured(pixels: DataFrame) -> DataFrame:
@@ -28,7 +36,7 @@ def _featured(pixels: DataFrame) -> DataFrame:
 
 
 def _neighbours(frame: DataFrame) -> DataFrame:
-    return frame.select("*", *[F.lag("f", -step).over(w).alias(s) for s, w, step in SIDES])
+    return frame.select("*", *[F.lag("f", step).over(w()).alias(s) for s, w, step in SIDES])
 
 
 def _step(a: str, b: str) -> Column:
@@ -83,20 +91,20 @@ def classify(pixels: DataFrame, palette: DataFrame) -> DataFrame:
     past = {s: F.greatest(*[F.col(f"step_{o}") for o, _, _ in SIDES if o != s], F.lit(0)) for s, _, _ in SIDES}
     facing = {"on_left": "on_right", "on_right": "on_left", "above": "below", "below": "above"}
     got = got.select("*", *[F.greatest(*[F.col(f"step_{o}") for o, _, _ in SIDES if o != facing[s]]).alias(f"beyond_{s}") for s, _, _ in SIDES])
-    got = got.select("*", *[F.coalesce(F.lag(f"beyond_{s}", -step).over(w), F.lit(0)).alias(f"past_{s}") for s, w, step in SIDES])
+    got = got.select("*", *[F.coalesce(F.lag(f"beyond_{s}", step).over(w()), F.lit(0)).alias(f"past_{s}") for s, w, step in SIDES])
     more = F.lit(0)
     for s, _, _ in SIDES:
         more = F.when(F.col("side") == s, F.greatest(past[s], F.col(f"past_{s}"))).otherwise(more)
     hard = F.col("boundary") | ((F.col("largest") >= EDGE_STEP) & (more * EDGE_RATIO <= F.col("largest")))
     got = got.withColumn("hard", hard).withColumn("sum3", F.col("p0") + F.col("p1") + F.col("p2"))
     # sign-incoherent sums in the 2 x 2 window, clamped at the right and lower border
-    got = got.withColumn("sum_r", F.lead("sum3").over(ROW))
-    got = got.withColumn("sum_d", F.lead("sum3").over(COLUMN)).withColumn("sum_rd", F.lead("sum_r").over(COLUMN))
+    got = got.withColumn("sum_r", F.lead("sum3").over(along_row()))
+    got = got.withColumn("sum_d", F.lead("sum3").over(along_column())).withColumn("sum_rd", F.lead("sum_r").over(along_column()))
     top, bottom = F.col("sum_r") - F.col("sum3"), F.col("sum_rd") - F.col("sum_d")
     left, right = F.col("sum_d") - F.col("sum3"), F.col("sum_rd") - F.col("sum_r")
     clash = lambda a, b: (a != 0) & (b != 0) & ((a < 0) != (b < 0))
     got = got.withColumn("rough", clash(top, bottom) | clash(left, right))
-    got = got.withColumn("rough", F.coalesce("rough", F.lag("rough").over(ROW))).withColumn("rough", F.coalesce("rough", F.lag("rough").over(COLUMN), F.lit(False)))
+    got = got.withColumn("rough", F.coalesce("rough", F.lag("rough").over(along_row()))).withColumn("rough", F.coalesce("rough", F.lag("rough").over(along_column()), F.lit(False)))
     grown = _flood(got.select("image_id", "pos", "y", "x", "fixed", "flat", F.col("f.colour").alias("colour")))
     got = got.drop("flat").join(grown, ["image_id", "pos"])
     kind = F.coalesce(
@@ -109,7 +117,7 @@ def classify(pixels: DataFrame, palette: DataFrame) -> DataFrame:
 def _flood(frame: DataFrame) -> DataFrame:
     """Flat spreads along runs of equal colour in rows and columns until it stops."""
     frame = frame.withColumn("open", F.col("fixed").isNull())
-    for axis, w in (("row", ROW), ("column", COLUMN)):
+    for axis, w in (("row", along_row()), ("column", along_column())):
         changed = F.coalesce((F.lag("colour").over(w) != F.col("colour")) | ~(F.lag("open").over(w) & F.col("open")), F.lit(True)).cast("bigint")
         frame = frame.withColumn("__c", changed).withColumn(axis, F.sum("__c").over(w)).drop("__c")
     before = -1
