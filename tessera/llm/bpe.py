@@ -58,7 +58,7 @@ class Pieces(dict):
 
 
 class SpeculativeBpe:
-    def __init__(self, spec: bytes, most_cached: int = 400_000):
+    def __init__(self, spec: bytes, most_cached: int = 600_000):
         got = json.loads(spec)
         model = got["model"]
         back = byte_alphabet()
@@ -219,11 +219,8 @@ class SpeculativeBpe:
         """The ids of each word as little-endian 32-bit integers."""
         if not words:
             return []
-        raw = [w.encode() for w in words]
-        joined = BORDER.join(w.decode("latin-1") for w in raw)
-        found = list(self.trie.iter_long(joined))
-        ends = np.fromiter((e for e, _ in found), np.int64, len(found))
-        ids = np.fromiter((i for _, i in found), np.int64, len(found))
+        raw = [w if w.isascii() else w.encode().decode("latin-1") for w in words]
+        ends, ids = (np.array(x, np.int64) for x in zip(*self.trie.iter_long(BORDER.join(raw))))
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
         of = np.searchsorted(starts, ends, "right") - 1
@@ -240,10 +237,10 @@ class SpeculativeBpe:
         self.exact_merges += len(failed)
         short = failed[sizes[failed] <= LONG_WORD].tolist()
         if short:
-            for i, made in zip(short, self.merge_short([raw[i] for i in short])):
+            for i, made in zip(short, self.merge_short([raw[i].encode("latin-1") for i in short])):
                 out[i] = made
         for i in failed[sizes[failed] > LONG_WORD].tolist():
-            out[i] = np.array(self.merge_long(raw[i]), "<u4").tobytes()
+            out[i] = np.array(self.merge_long(raw[i].encode("latin-1")), "<u4").tobytes()
         return out
 
     def _learn(self, missing: dict[str, None]) -> None:
@@ -282,12 +279,15 @@ class SpeculativeBpe:
             bare.add(pieces[0])
             spaced.update(pieces[1:])
         for cache, new, lead in ((self.spaced, spaced.difference(self.spaced), " "), (self.bare, bare.difference(self.bare), "")):
-            safe = [p for p in new if p and not p[0].isspace() and not p[-1].isspace() and len(p) <= 400]
-            if not safe:
+            single, ended, other = [], [], []
+            for p in new:
+                if p.isalpha():
+                    if len(p) <= 400:
+                        single.append(p)
+                elif p and len(p) <= 400 and not p[0].isspace() and not p[-1].isspace():
+                    (ended if p[-1] in ENDS and p[:-1].isalpha() else other).append(p)
+            if not (single or ended or other):
                 continue
-            single = [p for p in safe if p.isalpha()]
-            ended = [p for p in safe if p[-1] in ENDS and p[:-1].isalpha()]
-            other = [p for p in safe if not (p.isalpha() or p[-1] in ENDS and p[:-1].isalpha())]
             split = [WORDS.findall(lead + p) for p in other]
             words = list({w for ws in split for w in ws}.union([lead + p for p in single], [lead + p[:-1] for p in ended], ENDS))
             made = dict(zip(words, self.encode_words(words)))
