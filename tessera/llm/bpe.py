@@ -19,6 +19,7 @@ import hashlib
 import heapq
 import json
 from collections.abc import Callable
+from itertools import chain
 from pathlib import Path
 
 import ahocorasick
@@ -220,7 +221,7 @@ class SpeculativeBpe:
         if not words:
             return []
         raw = [w if w.isascii() else w.encode().decode("latin-1") for w in words]
-        ends, ids = (np.array(x, np.int64) for x in zip(*self.trie.iter_long(BORDER.join(raw))))
+        ends, ids = np.fromiter(chain.from_iterable(self.trie.iter_long(BORDER.join(raw))), np.int64).reshape(-1, 2).T.copy()
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
         of = np.searchsorted(starts, ends, "right") - 1
