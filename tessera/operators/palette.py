@@ -88,15 +88,29 @@ def centroid(sa, sar, sag, sab, n) -> np.ndarray:
     return np.stack([*rgb, a], -1)
 
 
+def sample_of(n: int) -> np.ndarray:
+    return np.arange(0, n, max(1, -(-n // H.SAMPLE_CAP)))
+
+
 def fit(bins: dict[str, np.ndarray], colours: int, exact: bool) -> np.ndarray:
     """A palette of at most ``colours`` entries from bins in key order."""
+    palette, done = start(bins, colours, exact)
+    if done:
+        return palette
+    few = {k: v[sample_of(len(bins["n"]))] for k, v in bins.items()}
+    means = np.stack([half_up(few[f"s{c}"], few["n"]) for c in "rgba"], -1)
+    points = np.stack([half_up(few[f"sa{c}"], few["n"]) for c in "rgb"] + [half_up(255 * few["sa"], few["n"])], -1)
+    return refine(palette, points, zone(means[:, 3]), means, feature, lambda rows: centroid(*(few[s][rows].sum() for s in ("sa", "sar", "sag", "sab", "n"))))
+
+
+def start(bins: dict[str, np.ndarray], colours: int, exact: bool) -> tuple[np.ndarray, bool]:
+    """The palette before refinement, and whether it is exact (the bins themselves)."""
     n = bins["n"]
     means = np.stack([half_up(bins[f"s{c}"], n) for c in "rgba"], -1)
     zones = zone(means[:, 3])
     if exact and len(n) <= colours:
-        return means
-    step = max(1, -(-len(n) // H.SAMPLE_CAP))
-    sample = np.arange(0, len(n), step)
+        return means, True
+    sample = sample_of(len(n))
     points = np.stack([half_up(bins[f"sa{c}"], n) for c in "rgb"] + [half_up(255 * bins["sa"], n)], -1)
     ladder = alpha_ladder(means[:, 3], n)
     level_zone = zone(ladder)
@@ -124,8 +138,7 @@ def fit(bins: dict[str, np.ndarray], colours: int, exact: bool) -> np.ndarray:
             if not any((colour[i] == e).all() for e in entries):
                 entries.append(colour[i])
     palette = np.array(entries, np.int64).reshape(-1, 4)
-    palette = fill(palette, means[sample], points[sample], n[sample], zones[sample], colours)
-    return refine(palette, {k: v[sample] for k, v in bins.items()}, points[sample], means[sample], zones[sample])
+    return fill(palette, means[sample], points[sample], n[sample], zones[sample], colours), False
 
 
 def fill(palette, means, points, n, zones, colours) -> np.ndarray:
@@ -156,32 +169,50 @@ def fill(palette, means, points, n, zones, colours) -> np.ndarray:
     return palette
 
 
-def refine(palette, bins, points, means, zones) -> np.ndarray:
-    """At most eight Lloyd rounds per zone; an entry without bins moves to its zone's worst-served bin,
-    or goes if the zone is served perfectly."""
+def serve(points: np.ndarray, zones: np.ndarray, entries: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each point's nearest entry of its zone (ties: the first) and the distance.  A visible point whose
+    zone has no entry takes any visible one, or the only entry there is."""
+    own, far = np.zeros(len(points), np.int64), np.zeros(len(points), points.dtype)
+    for z in np.unique(zones):
+        rows, inside = np.flatnonzero(zones == z), np.flatnonzero(kinds == z)
+        if not len(inside) and z:
+            inside = np.flatnonzero(kinds != 0) if len(kinds) > 1 else np.arange(len(kinds))
+        if not len(inside):
+            raise RuntimeError("no palette entry can take a bin")
+        for lo in range(0, len(rows), 4096):
+            part = rows[lo : lo + 4096]
+            d = square(points[part], entries[inside])
+            own[part], far[part] = inside[d.argmin(1)], d.min(1)
+    return own, far
+
+
+def refine(palette: np.ndarray, points: np.ndarray, zones: np.ndarray, spare: np.ndarray, feature_of, centre_of) -> np.ndarray:
+    """At most eight Lloyd rounds.  An entry without bins moves to the ``spare`` colour of its zone's
+    worst-served bin; if the zone is served perfectly it goes, unless it is the zone's last."""
+    kinds, key = zone(palette[:, 3]), pack(spare)
     for _ in range(REFINE):
-        kind = zone(palette[:, 3])
-        new, drop = palette.copy(), []
-        for z in (1, 2):
-            e, rows = np.flatnonzero(kind == z), np.flatnonzero(zones == z)
-            if not len(e) or not len(rows):
+        own, far = serve(points, zones, feature_of(palette), kinds)
+        worst = {}
+        for z in np.unique(zones).tolist():
+            rows = np.flatnonzero(zones == z)
+            ties = rows[far[rows] == far[rows].max()]
+            worst[z] = far[ties[0]], spare[ties[key[ties].argmin()]]
+        left, kept, moved = np.bincount(kinds, minlength=3), [], palette.copy()
+        for i, z in enumerate(kinds.tolist()):
+            rows = np.flatnonzero(own == i)
+            if z and len(rows):
+                moved[i] = centre_of(rows)
+                moved[i, 3] = 255 if z == 2 else moved[i, 3]
+            elif z and z in worst and worst[z][0] > 0:
+                moved[i] = worst[z][1]
+            elif z and left[z] > 1:
+                left[z] -= 1
                 continue
-            d = square(points[rows], feature(palette[e]))
-            own, worst = d.argmin(1), d.min(1)
-            for j, i in enumerate(e):
-                mine = rows[own == j]
-                if len(mine):
-                    c = centroid(*(bins[s][mine].sum() for s in ("sa", "sar", "sag", "sab", "n")))
-                    new[i] = np.where(np.arange(4) == 3, 255 if z == 2 else np.clip(c[3], 1, 254), c)
-                elif worst.max() > 0:
-                    ties = np.flatnonzero(worst == worst.max())
-                    new[i] = means[rows[ties[pack(means[rows[ties]]).argmin()]]]
-                elif len(e) - sum(x in drop for x in e) > 1:
-                    drop.append(i)
-        new = np.delete(new, drop, 0)
-        if np.array_equal(new, palette):
+            kept.append(i)
+        moved, kinds = moved[kept], kinds[kept]
+        if np.array_equal(moved, palette):
             break
-        palette = new
+        palette = moved
     return palette
 
 

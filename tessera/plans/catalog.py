@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import expr as E
-from tessera.operators import assign, dither, orders, pack, palette, regions
+from tessera.operators import assign, dither, oklab, orders, pack, palette, regions, search
 from tessera.operators import histogram as H
 
 LIMIT, CAP, PER_ZONE = 1000, 256, 8
@@ -139,6 +139,14 @@ def packed_images(spark, d):
     return orders.smallest(pack.pack_images(assigned(spark, d), pal(spark, d), pack.ORDERS + pack.MORE_ORDERS, ("none", "up", "residual")))
 
 
+def oklab_fitted(spark, d):
+    return oklab.fit_palettes(oklab.bins(pixels(spark, d), LIMIT), 32)
+
+
+def oklab_assigned(spark, d):
+    return oklab.remap(pixels(spark, d), oklab.bins(pixels(spark, d), LIMIT), oklab_fitted(spark, d))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Pixels to bins, a palette from the heaviest bins, nearest entries, and their frequencies."""
     return assign.frequency(assigned(spark, d), pal(spark, d))
@@ -204,6 +212,10 @@ QUERIES = {
     "fs_dither": diffused,
     "palette_fit": fitted,
     "pack_search": packed_images,
+    "pack_search_wide": lambda s, d: orders.smallest(search.search_images(assigned(s, d), pal(s, d))),
+    "seam_search": lambda s, d: search.seam_images(assigned(s, d), pal(s, d), memory=True),
+    "oklab_palette": oklab_fitted,
+    "oklab_remap": oklab_assigned,
 }
 
 _PX = """px AS (SELECT vec_id // 100 AS image_id, (vec_id % 100) * 16 + x AS pos, vec_id % 100 AS y, x,

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tessera.operators import dither, pack, palette
+from tessera.operators import dither, oklab, pack, palette, search
 from tessera.sources import png
 
 
@@ -18,7 +18,7 @@ def file(w, h, depth, colour, raw, interlace=0, extra=b""):
 def test_round_trip_of_every_filter():
     rng = np.random.default_rng(1)
     idx, colours = rng.integers(0, 5, (9, 13)), rng.integers(0, 256, (5, 4))
-    for f in (*pack.FILTERS, "trial"):
+    for f in (*pack.FILTERS, "trial-zlib"):
         assert np.array_equal(png.decode(pack.encode(idx, colours, f)).rgba, colours[idx])
 
 
@@ -99,3 +99,46 @@ def test_missing_optimiser_is_a_data_error(monkeypatch):
     monkeypatch.setenv("PATH", "")
     with pytest.raises(png.DataError):
         pack.optimise(b"", None)
+
+
+def test_local_moves_are_distinct_rearrangements():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 3, 4, 9, 200):
+        colours = rng.integers(0, 256, (n, 4))
+        colours[: n // 3, 3] = 255
+        found = search.moves(colours)
+        assert len(found) == len(set(found)) <= search.MOVES and all(sorted(m) == list(range(n)) and m != tuple(range(n)) for m in found)
+    assert search.spread(5, 1) == [0] and search.spread(10, 4) == [0, 3, 6, 9] and search.spread(0, 3) == []
+
+
+def test_wide_search_keeps_pixels_and_budget():
+    rng = np.random.default_rng(4)
+    idx, colours = rng.integers(0, 12, (20, 16)), rng.integers(0, 256, (14, 4))
+    found = search.widest(idx, colours)
+    assert 63 < len(found) <= search.BUDGET and [f[0] for f in found] == list(range(len(found)))
+    assert all(np.array_equal(png.decode(f[3]).rgba, colours[idx]) for f in found[::7])
+    assert min(len(f[3]) for f in found) <= min(len(f[3]) for f in pack.variants(idx, colours))
+
+
+def test_seams_never_grow_and_prefer_in_order():
+    idx, colours = np.arange(12).reshape(3, 4) % 3, np.array([[9, 8, 7, 255], [1, 2, 3, 0], [4, 5, 6, 255]])
+    rows = search.seam_rows(idx, colours, memory=True)
+    assert len(rows) == 5 * 2 * 2 and len({r[0] for r in rows}) == 20
+    best = min(rows, key=lambda r: (len(r[3]), r[0]))
+    assert len(best[3]) <= len(pack.write_indexed(idx, colours)) and np.array_equal(png.decode(best[3]).rgba, colours[idx])
+    assert [r[1:3] for r in search.seam_rows(idx, colours, False, False, False)] == [("identity", "8/8")]
+
+
+def test_oklab_goes_back_and_forth():
+    rng = np.random.default_rng(6)
+    colours = rng.integers(0, 256, (500, 4))
+    colours[:, 3] = np.maximum(colours[:, 3], 1)
+    f = np.rint(oklab.feature(colours)[:, :3] * oklab.UNIT)
+    assert np.array_equal(oklab.colour(np.ones(500, np.int64), colours[:, 3], *f.T), colours)
+
+
+def test_bins_of_a_zone_without_entries_take_a_visible_one():
+    own, _ = palette.serve(np.array([[0, 0, 0, 9], [5, 5, 5, 5]]), np.array([2, 1]), np.array([[0, 0, 0, 0], [5, 5, 5, 5]]), np.array([0, 1]))
+    assert own.tolist() == [1, 1]
+    with pytest.raises(RuntimeError):
+        palette.serve(np.zeros((1, 4), int), np.array([0]), np.array([[5, 5, 5, 5]]), np.array([1]))
