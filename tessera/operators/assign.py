@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import expr as E
+from tessera.operators import histogram as H
 
 P = ["p0", "p1", "p2", "p3"]
 Q = ["q0", "q1", "q2", "q3"]
@@ -61,6 +62,17 @@ def remap(pixels: DataFrame, palette: DataFrame) -> DataFrame:
     return pixels.join(found.select("image_id", *E.CHANNELS, "idx"), ["image_id", *E.CHANNELS]).select("image_id", "pos", "y", "x", "idx")
 
 
+def remap_bins(pixels: DataFrame, bins: DataFrame, palette: DataFrame) -> DataFrame:
+    """Index of every pixel by its bin: bins (from ``histogram``, with ``exact``) go to entries by their
+    premultiplied means, pixels to bins by key."""
+    keys = ["image_id", *H.KEY]
+    points = H.bin_means(H.finalise(bins))
+    found = nearest_with_fallback(points, palette, H.KEY).select(*keys, "idx")
+    mode = bins.groupBy("image_id").agg(F.first("exact").alias("exact"))
+    key = [F.when(F.col("exact"), F.col(c)).otherwise(k).alias(n) for c, k, n in zip(E.CHANNELS, E.coarse_key_of(*E.CHANNELS), H.KEY)]
+    return pixels.join(mode, "image_id").select("image_id", "pos", "y", "x", *key).join(found, keys).select("image_id", "pos", "y", "x", "idx")
+
+
 def frequency(assigned: DataFrame, palette: DataFrame) -> DataFrame:
     """Pixels per entry, zeros kept."""
     n = assigned.groupBy("image_id", "idx").agg(F.count(F.lit(1)).alias("n"))

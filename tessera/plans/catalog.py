@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import expr as E
 from tessera.operators import assign, dither, oklab, orders, pack, palette, regions, search
 from tessera.operators import histogram as H
+from tessera.plans.quantize import Options, quantize
 
 LIMIT, CAP, PER_ZONE = 1000, 256, 8
 
@@ -147,6 +148,12 @@ def oklab_assigned(spark, d):
     return oklab.remap(pixels(spark, d), oklab.bins(pixels(spark, d), LIMIT), oklab_fitted(spark, d))
 
 
+def files(spark, d):
+    """The images as baseline files."""
+    made = pack.per_image(assigned(spark, d), pal(spark, d), lambda idx, colours: [(0, "", "", pack.write_indexed(idx, colours))])
+    return made.select("image_id", F.col("bytes").alias("content"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Pixels to bins, a palette from the heaviest bins, nearest entries, and their frequencies."""
     return assign.frequency(assigned(spark, d), pal(spark, d))
@@ -214,6 +221,9 @@ QUERIES = {
     "pack_search": packed_images,
     "pack_search_wide": lambda s, d: orders.smallest(search.search_images(assigned(s, d), pal(s, d))),
     "seam_search": lambda s, d: search.seam_images(assigned(s, d), pal(s, d), memory=True),
+    "remap_bins": lambda s, d: assign.remap_bins(pixels(s, d), H.histogram(pixels(s, d), LIMIT), fitted(s, d)),
+    "quantize_files": lambda s, d: quantize(files(s, d), Options(colours=32)).drop("content"),
+    "quantize_files_dithered": lambda s, d: quantize(files(s, d), Options(colours=32, dither="guarded")).drop("content"),
     "oklab_palette": oklab_fitted,
     "oklab_remap": oklab_assigned,
 }

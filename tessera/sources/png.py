@@ -243,7 +243,7 @@ def decode_images(images: DataFrame, most_pixels: int = MOST_PIXELS) -> DataFram
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
                     if data is None:
-                        raise DataError("no content")
+                        raise DataError(f"no content, or more than {MOST_FILE} bytes")
                     i = decode(data, most_pixels)
                     rows.append({"image_id": name, "width": i.width, "height": i.height, "depth": i.depth, "color_type": i.colour, "interlaced": i.interlaced, "rgba": i.rgba.tobytes(), "gama": i.gamma,
                                  "iccp": i.profile and i.profile[0], "conversions": i.conversions})
@@ -253,7 +253,8 @@ def decode_images(images: DataFrame, most_pixels: int = MOST_PIXELS) -> DataFram
                 ("image_id", pa.int64()), *((k, pa.int32()) for k in ("width", "height", "depth", "color_type")), ("interlaced", pa.bool_()), ("rgba", pa.binary()), ("gama", pa.int64()),
                 ("iccp", pa.string()), ("conversions", pa.list_(pa.string())), ("error_kind", pa.string()), ("error_message", pa.string())]))
 
-    return images.where(F.length("content") <= MOST_FILE).select("image_id", "content").mapInArrow(run, schema)
+    content = F.when(F.length("content") <= MOST_FILE, F.col("content")).alias("content")
+    return images.select("image_id", content).mapInArrow(run, schema)
 
 
 def pixels(decoded: DataFrame) -> DataFrame:
