@@ -1,13 +1,15 @@
 """Toxicity by a classifier chain: each category's linear model also sees the earlier categories' scores.
 
-The models are logistic regressions on the presence of chosen words.  While training, a later model
-sees out-of-fold probabilities of the earlier ones, that is what they say of rows they weren't
-fitted on, as will be the case for new texts.
+The models are logistic regressions on the presence of chosen words and of chosen character n-grams
+of words, which inflected and compound words share.  While training, a later model sees out-of-fold
+probabilities of the earlier ones, that is what they say of rows they weren't fitted on, as will be
+the case for new texts.  The verdict's cut is fitted to out-of-fold probabilities of whole chains.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +21,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import as_text, fields, map_documents
 
 WORD = re.compile(r"[^\W\d_]+")
-MOST_ROWS, MOST_WORDS = 10_000, 2_000
+MOST_ROWS, MOST_WORDS, MOST_GRAMS = 10_000, 2_000, 500
+GRAMS = (3, 4, 5, 6)
 #: Words that tell the finer categories of a toxic row apart.
 SEEDS = {
     "insult": ("idiot", "moron", "loser", "clown", "scum"),
@@ -32,10 +35,39 @@ def words_of(text: str) -> set[str]:
     return set(WORD.findall(text.lower()))
 
 
+def grams_of(word: str) -> list[str]:
+    """Character n-grams of a word with its borders; some occur again."""
+    marked = f"<{word}>"
+    return [marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)]
+
+
+class Features(dict):
+    """Features of each word; forgets all when full."""
+
+    def __init__(self, index: dict[str, int]):
+        self.words = {x: i for x, i in index.items() if x[0] != " "}
+        self.grams = {x[1:]: i for x, i in index.items() if x[0] == " "}
+        self.heads = {x[: GRAMS[0]] for x in self.grams}
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > 250_000:
+            self.clear()
+        grams, heads, least, marked = self.grams, self.heads, GRAMS[0], f"<{word}>"
+        made = [self.words[word]] if word in self.words else []
+        for i in range(len(marked) - least + 1):
+            if marked[i : i + least] in heads:
+                made += [grams[g] for n in GRAMS if i + n <= len(marked) and (g := marked[i : i + n]) in grams]
+        self[word] = made = tuple(made)
+        return made
+
+    def of(self, words: set[str]) -> list[int]:
+        return sorted(set().union(*map(self.__getitem__, words)))
+
+
 @dataclass
 class Chain:
-    index: dict[str, int]
-    weights: np.ndarray  # category x (words, earlier categories)
+    index: dict[str, int]  # n-grams with a space before them
+    weights: np.ndarray  # category x (words and n-grams, earlier categories)
     bias: np.ndarray
     cut: float = 0.5
 
@@ -82,7 +114,7 @@ def fit_chain(index: dict[str, int], flat, of, n: int, y: np.ndarray, *, folds:
     for c in range(k):
         w, bias[c] = fit_linear(flat, of, n, size, seen[:, :c], y[:, c])
         weights[c, : size + c] = w
-        for f in range(folds):
+        for f in range(folds if c + 1 < k else 0):
             inside, new = fold != f, np.cumsum(fold != f) - 1
             own = inside[of]
             w, b = fit_linear(flat[own], new[of[own]], int(inside.sum()), size, seen[inside, :c], y[inside, c])
@@ -91,12 +123,117 @@ def fit_chain(index: dict[str, int], flat, of, n: int, y: np.ndarray, *, folds:
     return Chain(index, weights, bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, most_rows: int = MOST_ROWS, most_words: int = MOST_WORDS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Chain | None:
+class Vocabulary:
+    """Words of the labelled rows, and the n-grams of each word."""
+
+    def __init__(self, lists: pa.ListArray):
+        coded = pc.dictionary_encode(lists.flatten())
+        self.words = coded.dictionary.to_pylist()
+        self.codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.of = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        ids: dict[str, int] = {}
+        flat, ends = array("i"), [0]
+        for w in self.words:
+            flat.extend([ids.setdefault(g, len(ids)) for g in grams_of(w)])
+            ends.append(len(flat))
+        self.grams = list(ids)
+        self.sizes = np.diff(ends)
+        self.flat = np.array(flat, np.int32)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def present(self, chosen: np.ndarray | None = None, step: int = 64):
+        """Distinct (n-gram, row) pairs, ``step`` rows at a time, of the chosen n-grams or all."""
+        cuts = np.searchsorted(self.of, np.arange(0, (self.of[-1] if len(self.of) else -1) + step + 1, step))
+        for a, b in zip(cuts, cuts[1:]):
+            codes, sizes = self.codes[a:b], self.sizes[self.codes[a:b]]
+            at = np.repeat(self.starts[codes] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            grams, rows = self.flat[at].astype(np.int64), np.repeat(self.of[a:b], sizes)
+            if chosen is not None:
+                kept = chosen[grams]
+                grams, rows = grams[kept], rows[kept]
+            pairs = np.unique(rows * len(self.grams) + grams)
+            yield pairs % len(self.grams), pairs // len(self.grams)
+
+
+def strongest(a: np.ndarray, b: np.ndarray, toxic: float, clean: float, most: int) -> np.ndarray:
+    """Numbers of the features of greatest chi-square, from the toxic and clean rows that have them."""
+    n, c, d = toxic + clean, toxic - a, clean - b
+    chi = (a * d - b * c) ** 2 * n / np.maximum((a + b) * (c + d) * toxic * clean, 1e-9)
+    chi[a + b < min(5, max(2, n // 100))] = 0
+    chosen = np.argsort(-chi, kind="stable")[:most]
+    return chosen[chi[chosen] > 0]
+
+
+def fit_rows(known: Vocabulary, y: np.ndarray, folds: int, most_words: int, most_grams: int) -> tuple[Chain, np.ndarray]:
+    """The chain of all rows, and the probabilities that chains without a row's fold give the row.
+
+    Such a chain chooses its features without that fold as well.
+    """
+    n, fold = len(y), np.arange(len(y)) % folds
+    codes, of = known.codes, known.of
+    hits = [np.bincount(of[np.isin(codes, np.flatnonzero(np.isin(known.words, SEEDS[c])))], minlength=n) > 0 for c in CHAIN[:-1]]
+    targets = np.stack([*(y * h for h in hits), y], 1)
+    # a column per fold and label, so that what a fold leaves is a sum of columns
+    group = fold * 2 + y.astype(np.int64)
+    word_counts = np.stack([np.bincount(codes[group[of] == g], minlength=len(known.words)) for g in range(2 * folds)])
+    gram_counts = np.zeros((2 * folds, len(known.grams)), np.int32)
+    for grams, rows in known.present():
+        for g in range(2 * folds):
+            gram_counts[g] += np.bincount(grams[group[rows] == g], minlength=len(known.grams)).astype(np.int32)
+    picks = []
+    for out in (None, *range(folds)):
+        kept = [k for k in range(folds) if k != out]
+        inside = fold != out if out is not None else np.ones(n, bool)
+        toxic = y[inside].sum()
+        best = []
+        for counts, most in ((word_counts, most_words), (gram_counts, most_grams)):
+            a, b = (counts[[2 * k + label for k in kept]].sum(0).astype(float) for label in (1, 0))
+            best.append(strongest(a, b, toxic, inside.sum() - toxic, most))
+        picks.append((inside, *best))
+    del gram_counts
+    wanted = np.zeros(len(known.grams), bool)
+    for _, _, grams in picks:
+        wanted[grams] = True
+    parts = list(known.present(wanted))
+    gram, gram_of = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (list(zip(*parts)) or [(), ()]))
+    held, chain = np.zeros(n), None
+    for inside, words, grams in picks:
+        index = {name: i for i, name in enumerate([*(known.words[i] for i in words), *(" " + known.grams[i] for i in grams)])}
+        to_word, to_gram = np.full(len(known.words), -1), np.full(len(known.grams), -1)
+        to_word[words], to_gram[grams] = np.arange(len(words)), len(words) + np.arange(len(grams))
+        flat, rows = np.concatenate([to_word[codes], to_gram[gram]]), np.concatenate([of, gram_of])
+        rows, flat = rows[flat >= 0], flat[flat >= 0]
+        own, new = inside[rows], np.cumsum(inside) - 1
+        fitted = fit_chain(index, flat[own], new[rows[own]], int(inside.sum()), targets[inside])
+        if chain is None:
+            chain = fitted
+        else:
+            held[~inside] = chained(fitted.weights, fitted.bias, flat, rows, n)[~inside, -1]
+    return chain, held
+
+
+def fit_cut(p: np.ndarray, y: np.ndarray, lost: float) -> float:
+    """The cut that rejects at most a share ``lost`` of the clean rows, and the most toxic ones.
+
+    It lies in the middle, by log odds, between the clean row that has to stay and the toxic row
+    next above it.
+    """
+    clean = np.sort(p[y == 0])[::-1]
+    least = clean[min(int(lost * len(clean)), len(clean) - 1)]
+    above = p[(y == 1) & (p > least)]
+    if not len(above):
+        return float(max(0.5, np.nextafter(least, 2)))
+    a, b = (np.log(x / (1 - x)) for x in np.clip([least, above.min()], 1e-12, 1 - 1e-12))
+    return float(np.clip(sigmoid((a + b) / 2), np.nextafter(least, 2), above.min()))
+
+
+def train(docs: DataFrame, labels: DataFrame, *, most_rows: int = MOST_ROWS, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS, lost: float = 0.003, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Chain | None:
     """Fit the chain on at most ``most_rows`` labelled rows (those of the smallest hashes of their ids).
 
-    The finer categories are toxic rows with a seed word.  Words are the ``most_words`` with the
-    strongest chi-square against the label, in five rows or more.  Without rows of both labels
-    there is no model (None).
+    The finer categories are toxic rows with a seed word.  Words and n-grams are those with the
+    strongest chi-square against the label, in five rows or more.  The cut rejects at most a share
+    ``lost`` of the clean rows by out-of-fold scores.  Without rows of both labels there is no
+    model (None).
     """
     picked = (
         labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("bigint").alias("__y"))
@@ -110,53 +247,31 @@ def train(docs: DataFrame, labels: DataFrame, *, most_rows: int = MOST_ROWS, mos
     rows = map_documents(known, make, fields("words array<string>"), keep=("__id", "__y")).toArrow().combine_chunks()
     rows = rows.take(pc.sort_indices(rows["__id"])).slice(0, most_rows)
     y = np.array(rows["__y"].to_pylist(), float)
-    n = len(y)
-    if n < 20 or y.min() == y.max():
+    if len(y) < 20 or y.min() == y.max():
         return None
     lists = rows["words"].combine_chunks()
-    coded = pc.dictionary_encode(lists.flatten())
-    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    vocabulary = coded.dictionary.to_pylist()
-    of = np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-    a = np.bincount(codes, y[of], len(vocabulary))
-    b = np.bincount(codes, 1 - y[of], len(vocabulary))
-    c, d = y.sum() - a, n - y.sum() - b
-    chi = (a * d - b * c) ** 2 * n / np.maximum((a + b) * (c + d) * y.sum() * (n - y.sum()), 1e-9)
-    chi[a + b < min(5, max(2, n // 100))] = 0
-    chosen = np.argsort(-chi, kind="stable")[:most_words]
-    chosen = chosen[chi[chosen] > 0]
-    index = {vocabulary[i]: j for j, i in enumerate(chosen)}
-    to = np.full(len(vocabulary), -1)
-    to[chosen] = np.arange(len(chosen))
-    flat, of = to[codes], of[to[codes] >= 0]
-    flat = flat[flat >= 0]
-    targets = []
-    code = {w: i for i, w in enumerate(vocabulary)}
-    full_of = np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-    for name in CHAIN[:-1]:
-        ids = [code[w] for w in SEEDS[name] if w in code]
-        hit = np.bincount(full_of[np.isin(codes, ids)], minlength=n) > 0
-        targets.append(y * hit)
-    return fit_chain(index, flat, of, n, np.stack([*targets, y], 1))
+    model, held = fit_rows(Vocabulary(lists), y, 3, most_words, most_grams)
+    model.cut = fit_cut(held, y, lost)
+    return model
 
 
 def judge(docs: DataFrame, model: Chain | None, *, text_col: str = "text", keep=("doc_id",)) -> DataFrame:
     """Adds p_insult, p_contempt, p_toxic and toxic (the last one at the model's cut or above).
 
-    Null and empty texts have no words and get the models' base rates.  Without a model all are 0
+    Null and empty texts have no features and get the models' base rates.  Without a model all are 0
     and nothing is toxic.  Repeated rows get equal results; no rows give none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         chain = shared.value
+        known = Features(chain.index if chain else {})
 
         def kernel(texts: pa.Array) -> dict:
             if chain is None:
                 p = np.zeros((len(texts), len(CHAIN)))
                 return {f"p_{c}": p[:, i] for i, c in enumerate(CHAIN)} | {"toxic": np.zeros(len(p), bool)}
-            index, chosen = chain.index, chain.index.keys()
-            p = chain.probabilities([[index[w] for w in sorted(words_of(t) & chosen)] for t in as_text(texts)])
+            p = chain.probabilities([known.of(words_of(t)) for t in as_text(texts)])
             return {f"p_{c}": p[:, i] for i, c in enumerate(CHAIN)} | {"toxic": p[:, -1] >= chain.cut}
 
         return kernel

@@ -222,6 +222,20 @@ def test_toxicity_chain(spark, empty):
     assert toxicity.train(empty, frame.select("doc_id", "toxic")) is None
 
 
+def test_toxicity_of_compounds_and_fitted_cut(spark):
+    rng = np.random.default_rng(4)
+    ending = lambda: "".join(rng.choice(list("aeioulmnrst"), 6))
+    rows = [(i, prose(i, 20) + (f" achlich{ending()}" if i % 4 == 0 else f" {ending()}"), int(i % 4 == 0)) for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.train(frame.where("doc_id < 300"), frame.select("doc_id", "toxic"))
+    assert all(r.toxic == (r.doc_id % 4 == 0) for r in toxicity.judge(frame.where("doc_id >= 300"), model).collect())
+    p, y = np.array([0.01] * 998 + [0.2, 0.9] + [0.1, 0.3, 0.4, 0.95]), np.array([0.0] * 1000 + [1.0] * 4)
+    for lost, clean, toxic in ((0, 0, 1), (0.001, 1, 3), (0.002, 2, 4)):
+        caught = p >= toxicity.fit_cut(p, y, lost)
+        assert (caught[y == 0].sum(), caught[y == 1].sum()) == (clean, toxic)
+    assert toxicity.fit_cut(np.array([0.7, 0.2]), np.array([0.0, 1.0]), 0) > 0.7
+
+
 def test_warc_records(spark):
     page = '<html lang="en"><head><title>A &amp; B</title><script>x("<p>")</script></head><body><p>one<b>two</b><!-- no --><p>th&eacute; end<a href="/x">y</a></body></html>'
     pages = spark.createDataFrame([(1, "http://e.org/", page), (2, None, None), (1, "http://e.org/", page)], "page_id bigint, url string, html string")
