@@ -2,8 +2,8 @@
 
 P(w | u) mixes the maximum-likelihood estimates c(uw)/c(u), c(w)/N and 1/(V+1).  The weights depend
 on how often the context u was seen (buckets of doubling counts) and are learned by
-expectation-maximisation on held-out counts: blocks of the training texts are set aside in turn,
-and their own counts are deleted from the estimates that score them.
+expectation-maximisation on held-out counts: each chunk of the training texts is set aside in turn,
+and its own counts are deleted from the estimates that score them.
 
 Counts never meet in one place.  Documents are dealt into chunks; a chunk asks each hash range for
 the counts of its distinct n-grams and sends its own along; a range adds up and answers every chunk
@@ -29,7 +29,6 @@ CHUNK_BYTES = 12 << 20
 LEAST_CHUNKS = 64
 BUCKETS = 24
 GRID = 4  # cells of the held-out statistics per doubling of a probability ratio
-EM_SHARE = 8  # every so many chunks one is held out
 #: Weights (bigram, unigram, uniform) where nothing was held out.
 DEFAULT = (0.5, 0.4, 0.1)
 U64 = np.uint64
@@ -260,11 +259,8 @@ def score(docs: DataFrame, *, held_out=None, id_col: str = "doc_id", text_col: s
     total = told.where("chunk < 0").agg(F.sum("tokens"), F.sum("types")).first()
     model = Model(total[0] or 0, total[1] or 0, np.tile(DEFAULT, (BUCKETS, 1)))
     answers = told.where("chunk >= 0").select("chunk", "part", "words", "pairs")
-    name, text = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    set_aside = docs.where(F.pmod(F.xxhash64(name, text), F.lit(chunks)) % EM_SHARE == 0)
     cells = (
-        _chunks(set_aside, held_out, chunks, id_col, text_col).groupBy("chunk")
-        .cogroup(answers.where(F.col("chunk") % EM_SHARE == 0).groupBy("chunk"))
+        blobs.groupBy("chunk").cogroup(answers.groupBy("chunk"))
         .applyInArrow(lambda left, right: held_out_cells(left, right, model) if left.num_rows else pa.table({"cell": pa.array([], pa.int64()), "n": pa.array([], pa.int64())}), "cell bigint, n bigint")
         .groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toArrow()
     )

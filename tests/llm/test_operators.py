@@ -141,6 +141,13 @@ def test_language_model_counts(docs, empty):
     assert ngramlm.score(empty).count() == 0
 
 
+def test_every_training_token_is_held_out_once(docs, monkeypatch):
+    seen, learn = [], ngramlm.learn
+    monkeypatch.setattr(ngramlm, "learn", lambda cells, n: seen.append(n.sum()) or learn(cells, n))
+    train_tokens = ngramlm.score(docs).first().train_tokens
+    assert seen == [train_tokens]
+
+
 def test_em_raises_the_likelihood():
     cells = np.array([(3 * 400 + 260) * 400 + 230, (3 * 400 + 0) * 400 + 220, (5 * 400 + 280) * 400 + 210])
     w = ngramlm.learn(cells, np.array([50.0, 30.0, 400.0]))
