@@ -3,10 +3,10 @@
 A credential often comes in parts: an access identifier, a secret, an endpoint.  Strong patterns
 (assignments of long values, access keys, long hex strings) are reported as they are.  Weak
 candidates - identifiers, short assigned values, endpoints - are joined by interval: two parts link
-if they lie in the same scope (a paragraph, that is a stretch without an empty line) and at most
-``WINDOW`` code points apart.  A weak part is reported only if a part of another role links to it.
-The join runs over positions sorted by role with binary search, so its work grows with the number
-of candidates and not of pairs.
+if they lie in the same scope (a paragraph, that is a stretch without an empty line).  A weak part
+is reported only if a part of another role links to it.  The join runs over starts and prefix
+maxima of ends by scope and role with binary search, so its work grows with the number of
+candidates and not of pairs.
 """
 
 from __future__ import annotations
@@ -25,10 +25,10 @@ ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']? *[:=] *["
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: Weak parts, each with the role it plays.
-IDENTIFIER = re.compile(r"""\b(?:client_?id|access_?key(?:_?id)?|user(?:name)?|login|account)["']? *[:=] *["']?([A-Za-z0-9@._-]{3,64})""", re.IGNORECASE | re.ASCII)
-ENDPOINT = re.compile(r"""\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqps?|ftp|ssh)://[^\s"'<>]{4,200}""", re.IGNORECASE | re.ASCII)
+IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?<!secret_)(?:client_?id|access_?key(?:_?id)?|user(?:name)?|login|account)["']? *[:=] *["']?([A-Za-z0-9@._-]{3,})""", re.IGNORECASE | re.ASCII)
+ENDPOINT = re.compile(r"""\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqps?|ftp|ssh)://[^\s"'<>]{4,}""", re.IGNORECASE | re.ASCII)
+SECRET_KEY = re.compile(r"""secret_?access_?key["']? *[:=] *["']?[A-Za-z0-9+/_.=-]+""", re.IGNORECASE | re.ASCII)
 SCOPE = re.compile(r"\n[ \t]*\n")
-WINDOW = 200
 ROLE = {"access": "id", "identifier": "id", "assign": "secret", "hex": "secret", "secret": "secret", "endpoint": "endpoint"}
 FIELDS = fields("spans array<struct<kind:string,start:bigint,end:bigint,link:bigint,base:boolean>>")
 
@@ -40,6 +40,7 @@ def candidates(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, i
         for m in ASSIGN.finditer(text):
             (strong if len(m[1]) >= 12 else weak).append((*m.span(), "assign" if len(m[1]) >= 12 else "secret"))
         weak += [(*m.span(), "identifier") for m in IDENTIFIER.finditer(text)]
+        weak += [(*m.span(), "secret") for m in SECRET_KEY.finditer(text)]
         weak += [(*m.span(), "endpoint") for m in ENDPOINT.finditer(text)] if "://" in text else []
     if "AKIA" in text:
         for m in ACCESS.finditer(text):
@@ -50,25 +51,27 @@ def candidates(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, i
 
 def find(text: str) -> list[tuple[str, int, int, int | None, bool]]:
     """Spans as (kind, start, end, link, base) by start, then kind; link is the start of the nearest
-    part of another role in the same scope and window, or None."""
+    part of another role in the same scope, or None."""
     strong, weak = candidates(text)
     if not strong and not weak:
         return []
     cuts = [m.end() for m in SCOPE.finditer(text)] if len(strong) + len(weak) > 1 else []
-    by_role: dict[str, list[tuple[int, int]]] = {}
+    # by scope and role: starts, and up to each the part that ends last
+    parts: dict[int, dict[str, tuple[list[int], list[tuple[int, int]]]]] = {}
     for a, b, kind in sorted(strong + weak):
-        by_role.setdefault(ROLE[kind], []).append((a, b))
+        starts, last = parts.setdefault(bisect_right(cuts, a), {}).setdefault(ROLE[kind], ([], []))
+        starts.append(a)
+        last.append(max(last[-1], (b, a), key=lambda x: x[0]) if last else (b, a))
 
     def link(a: int, b: int, role: str) -> int | None:
-        scope, best = bisect_right(cuts, a), None
-        for other, parts in by_role.items():
+        best = None
+        for other, (starts, last) in parts[bisect_right(cuts, a)].items():
             if other == role:
                 continue
-            i = bisect_left(parts, (a, b))
-            for x, y in parts[max(0, i - 1) : i + 1]:
-                gap = max(a, x) - min(b, y)
-                if gap <= WINDOW and bisect_right(cuts, x) == scope and (best is None or (gap, x) < best):
-                    best = gap, x
+            i = bisect_left(starts, a)
+            near = [(max(0, a - last[i - 1][0]), last[i - 1][1])] if i else []
+            near += [(max(0, starts[i] - b), starts[i])] if i < len(starts) else []
+            best = min(near if best is None else [best, *near])
         return best and best[1]
 
     found = [(a, kind, b, link(a, b, ROLE[kind]), True) for a, b, kind in strong]
