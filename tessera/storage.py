@@ -37,9 +37,13 @@ def write(frame: DataFrame) -> str:
     return path
 
 
+def read(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)
+
+
 def keep(frame: DataFrame) -> DataFrame:
     """The frame's rows from a table of their own; it stays as long as the folder does."""
-    return frame.sparkSession.read.schema(frame.schema).parquet(write(frame))
+    return read(frame.sparkSession, write(frame), frame.schema)
 
 
 def remove(spark: SparkSession, path: str) -> None:
