@@ -1,8 +1,7 @@
-"""What the text operators share: the per-batch runner, input normalisation and checkpoints."""
+"""What the text operators share: the per-batch runner and input normalisation."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -101,14 +100,5 @@ def as_text(texts: pa.Array) -> list[str]:
     return [x or "" for x in texts.to_pylist()]
 
 
-def checkpoint(frame: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the folder that spark.checkpoint.dir names."""
-    spark = frame.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
-    return frame.checkpoint(eager=True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

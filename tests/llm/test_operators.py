@@ -126,6 +126,66 @@ def test_jaccard_null_ids_and_no_rows(docs, empty):
     assert kept.columns == docs.columns and kept.where("doc_id = 6").count() == 0 and kept.where("doc_id is null").count() == 1
 
 
+def test_jaccard_keeps_one_row_of_each_component(spark):
+    a, b, c = prose(21, 60), prose(22, 60), prose(23, 60)
+    rows = [(3, a), (5, a), (5, b), (None, b + " more"), (9, c), (9, c), (None, prose(24, 60)), (11, ""), (11, ""), (12, None), (2, " ")]
+    frame = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, rid int")
+    kept = jaccard.keep_one(frame)
+    assert kept.columns == frame.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(3, a), (5, b), (9, c), (None, rows[6][1]), (11, ""), (11, ""), (12, None), (2, " ")], key=str)
+
+
+def test_jaccard_with_names_as_ids_and_low_similarity(spark):
+    words = [f"t{i}" for i in range(190)]
+    rows = [("b", " ".join(words[:40])), ("a", " ".join(words[:150])), ("c", " ".join(words[150:]))]
+    frame = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.components(frame, n=1, num=25, den=100).collect()}
+    assert got == {"a": "a", "b": "a", "c": "c"}
+    for num in (0, 101):
+        with pytest.raises(ValueError):
+            jaccard.components(frame, num=num, den=100)
+
+
+def test_a_family_costs_no_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SIGNATURE_BLOCK", 8)
+    monkeypatch.setattr(jaccard, "SET_BLOCK", 8)
+    words, seen, whole = prose(31, 200).split(), [], jaccard.per_group
+    rows = [(i, " ".join([*words[:i], f"w{i}", *words[i:]])) for i in range(100)]
+    monkeypatch.setattr(jaccard, "per_group", lambda frame, *rest: seen.append(frame.count()) or whole(frame, *rest))
+    got = jaccard.components(spark.createDataFrame(rows, "doc_id bigint, text string"), n=4, num=85, den=100)
+    assert {r.component_id for r in got.collect()} == {0} and max(seen) < 3000
+
+
+def test_language_model_score_is_the_mixture(docs, monkeypatch):
+    weights = np.tile((0.6, 0.3, 0.1), (ngramlm.BUCKETS, 1)) + np.linspace(0, 0.05, ngramlm.BUCKETS)[:, None] * [1, -1, 0]
+    monkeypatch.setattr(ngramlm, "learn", lambda cells, n: weights)
+    texts = [*enumerate(TEXTS), (None, "null id here")]
+    tokens = {i: (t or "").encode().lower().split() + [0] for i, t in texts}
+    train = [t for i, t in tokens.items() if not (i is not None and zlib.crc32(str(i).encode()) % 5 == 1)]
+    one, two = Counter(w for t in train for w in t), Counter(p for t in train for p in zip([0, *t], t))
+    n, v = sum(one.values()), len(one)
+    for r in ngramlm.score(docs, chunk_bytes=1000).collect():
+        t, total = tokens[r.doc_id], 0.0
+        for u, w in zip([0, *t], t):
+            k = weights[int(ngramlm.bucket(np.array([one[u]]))[0])]
+            total += math.log10(k[0] * (two[u, w] / one[u] if one[u] else 0) + k[1] * one[w] / n + k[2] / (v + 1))
+        assert math.isclose(r.score, total, rel_tol=1e-9)
+
+
+def test_language_model_with_repeated_rows_and_clashing_columns(spark):
+    rows = [(i % 3, f"same {i % 2} text", True, 0.5) for i in range(12)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, held_out boolean, score double")
+    got = ngramlm.score(frame).collect()
+    assert Counter(r.doc_id for r in got) == {0: 4, 1: 4, 2: 4} and {(r.held_out, r.train_tokens) for r in got} == {(False, 48)}
+
+
+def test_chunks_grow_with_the_root_of_the_input():
+    small, large = ngramlm.Plan.of(1 << 30), ngramlm.Plan.of(10**14)
+    assert small.chunk_bytes == ngramlm.CHUNK_BYTES and large.chunk_bytes < 1 << 30 and large.pair_bits == 64
+    assert 2**large.range_bits * 10**14 / large.chunk_bytes < 2 * 10**14 / ngramlm.MESSAGE_BYTES + 1
+
+
 def test_language_model_counts(docs, empty):
     rows = {r.doc_id: r for r in ngramlm.score(docs).collect()}
     texts = dict(enumerate(TEXTS)) | {None: "null id here"}
