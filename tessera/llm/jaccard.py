@@ -3,14 +3,21 @@
 Documents with equal sets collapse to classes.  Any two sets that reach the similarity share a
 token among their prefixes under one global order of tokens; the order puts tokens that a fixed-size
 count sketch of the whole corpus finds frequent last, so a passage in many documents is no
-candidate.  All classes with a prefix token form a group, named by its least class.
+candidate.  A prefix token is posted under the size of its set and the next one, in steps of the
+similarity, so only sets of fitting sizes meet.  Most postings are alone: chunks of documents send
+theirs to hash ranges as compressed arrays, and a filter of those found twice spares the others any
+further way.  All classes with a posting form a group, named by its least class.
 
 In each group a signature tree holds, per node, the OR of its members' token bitmaps and their
 range of sizes.  A dual traversal drops node pairs whose sizes can't match or whose greatest
 possible overlap is too small, and skips pairs already known to lie together.  A first pass over
 bitmaps alone leaves clusters of possible partners; a second one over the sets of those decides
-every pair exactly.  Large groups are cut into blocks, and every pair of blocks is a task of its
-own.  What goes on are spanning links, never all pairs.
+every pair exactly.
+
+A group above a block goes in two steps.  Each of its blocks is first compared with one member, the
+head; what links to the head needs no comparison among itself.  Only the loose rest meets all
+blocks, a task for each pair of blocks.  So a family of near copies costs work in proportion to its
+size, and no link is lost.  What goes on are spanning links, never all pairs.
 
 Tokens and sets are told apart by 64-bit hashes.
 """
@@ -22,19 +29,24 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import as_bytes, checkpoint, fields, map_documents, slices
-from tessera.llm.ngramlm import HASHES, mix
+from tessera.llm.common import TEXT, as_bytes, fields, map_documents, slices
+from tessera.llm.ngramlm import HASHES, delta, mix, undelta
+from tessera.storage import keep, read, remove, write
 
 U64 = np.uint64
 SKETCH_BITS, SEGMENT_BITS = 22, 16
 LEAF, FAN = 16, 8
 SIGNATURE_BLOCK, SET_BLOCK = 4096, 512
-FILTER_BITS = 24
+#: Binary logarithms of a filter's bits: at least and at most (32 MB); and bits for each entry.
+FILTER_LEAST, FILTER_MOST, FILTER_EACH = 16, 28, 16
+#: Tokens of a chunk or a range, and ranges at least.
+RANGE_TOKENS, LEAST_RANGES = 1 << 20, 64
 
 
 # -- sets ---------------------------------------------------------------------------------------
@@ -177,39 +189,51 @@ def traverse(a: Tree, b: Tree, num: int, den: int) -> Iterator[tuple[np.ndarray,
             yield a.members[p[ok]], b.members[q[ok]]
 
 
-def link(sizes: np.ndarray, maps: list[np.ndarray], sides: np.ndarray | None, num: int, den: int, accept: Callable[[int, int], bool] | None) -> list[tuple[int, int]]:
+def near_head(head: np.ndarray, size: int, sizes: np.ndarray, maps: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Which members may match one other, by bitmaps alone."""
+    ok, widths = np.zeros(len(sizes), bool), np.array([len(m) for m in maps])
+    for words in np.unique(widths).tolist():
+        rows, least = np.flatnonzero(widths == words), min(words, len(head))
+        own = np.stack([fold(maps[r], 64 * least) for r in rows] + [fold(head, 64 * least)])
+        n = np.append(sizes[rows], size)
+        side = [own, n, n, n - np.bitwise_count(own).sum(1, dtype=np.int64)]
+        at = np.arange(len(rows))
+        ok[rows] = possible(side, side, at, np.full(len(rows), len(rows)), num, den)
+    return ok
+
+
+def link(rid: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray], sides: np.ndarray | None, num: int, den: int, accept: Callable[[int, int], bool] | None) -> list[tuple[int, int]]:
     """Spanning links among members (or between two sides only), by trees per bitmap width.
 
-    Without ``accept`` every possible pair links; with it those that it confirms.
+    Without ``accept`` every possible pair links; with it those that it confirms.  Bitmaps of two
+    widths meet wherever sizes of theirs can be within the ratio.
     """
     union, links = Union(len(sizes)), []
     widths = np.array([64 * len(m) for m in maps])
 
     def tree(rows: np.ndarray, width: int) -> Tree | None:
-        return Tree(rows, sizes[rows], np.stack([m if len(m) * 64 == width else fold(m, width) for m in (maps[r] for r in rows)])) if len(rows) else None
+        return Tree(rows, sizes[rows], np.stack([fold(maps[r], width) for r in rows])) if len(rows) else None
 
     def walk(a: Tree | None, b: Tree | None) -> None:
         if a is None or b is None:
             return
         for p, q in traverse(a, b, num, den):
             for x, y in zip(p.tolist(), q.tolist()):
-                if union.find(x) != union.find(y) and (accept is None or accept(x, y)):
+                if rid[x] != rid[y] and union.find(x) != union.find(y) and (accept is None or accept(x, y)):
                     union.join(x, y)
                     links.append((x, y))
 
     sets = [np.arange(len(sizes))] if sides is None else [np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)]
-    for width in np.unique(widths).tolist():
-        here = [r[widths[r] == width] for r in sets]
-        wider = [r[widths[r] == 2 * width] for r in sets]
-        if sides is None:
-            own = tree(here[0], width)
-            walk(own, own)
-            walk(own, tree(wider[0], width))
-        else:
-            left, right = tree(here[0], width), tree(here[1], width)
-            walk(left, right)
-            walk(left, tree(wider[1], width))
-            walk(right, tree(wider[0], width))
+    every = np.unique(widths).tolist()
+    for width in every:
+        trees = [tree(r[widths[r] == width], width) for r in sets]
+        walk(trees[0], trees[-1])
+        for more in every:
+            if more > width and more * num < 2 * width * den:
+                wider = [tree(r[widths[r] == more], width) for r in sets]
+                walk(trees[0], wider[-1])
+                if sides is not None:
+                    walk(trees[1], wider[0])
     return links
 
 
@@ -257,18 +281,49 @@ def per_group(frame: DataFrame, keys: list[str], out: list[T.StructField], work:
         if made[names[0]]:
             yield full()
 
+    frame = frame.select(*keys, *[c for c in frame.columns if c not in keys])
     return frame.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, T.StructType(out))
 
 
-def in_blocks(members: DataFrame, key: str, most: int) -> DataFrame:
-    """Adds i, j and side: a group of over ``most`` members is cut into blocks, each pair of blocks a task."""
-    size = members.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / most).cast("bigint").alias("__blocks"))
-    dealt = members.join(size, key).withColumn("__own", F.pmod(F.xxhash64("rid"), F.col("__blocks")))
-    dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
-    return dealt.select(
-        key, F.least("__own", "__other").alias("i"), F.greatest("__own", "__other").alias("j"),
-        F.when(F.col("__own") <= F.col("__other"), 0).otherwise(1).cast("bigint").alias("side"), *[c for c in members.columns if c != key],
-    )
+def beside(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """A join on a key that may be hot in ``many``.
+
+    Joining on the key's complement gives either side an exchange of its own; adaptive execution can
+    split such an exchange at a hot key, but not one that an aggregate below shares.
+    """
+    right = one.withColumnRenamed(key, "__key")
+    return many.join(right, F.bitwise_not(F.col(key)) == F.bitwise_not(F.col("__key")), how).drop("__key")
+
+
+MET = fields("key bigint, rid bigint, near boolean")
+
+
+def over_groups(members: DataFrame, key: str, most: int, rows: DataFrame, out: list[T.StructField], work, meet, star) -> DataFrame:
+    """``work`` on every group of ``members`` (key, rid, distinct) with the columns that ``rows`` has by rid.
+
+    A group above ``most`` is cut into blocks.  ``meet`` says which rows of a block are near the
+    group's head (its least rid, marked by side 1); ``star`` makes output of those.  The loose ones
+    meet all blocks, two sides to a task.
+    """
+    zero = lambda *names: [F.lit(0).cast("bigint").alias(n) for n in names]
+    sizes = members.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.min("rid").alias("__head")).where(F.col("__n") > most)
+    big = keep(sizes.select(key, "__head", F.ceil(F.col("__n") / most).cast("bigint").alias("__blocks")))
+    order = [key, "i", "j", "side", "rid"]
+    if big.isEmpty():
+        return per_group(members.select(key, *zero("i", "j", "side"), "rid").join(rows, "rid"), [key, "i", "j"], out, work)
+    placed = beside(members, big, key, "left")
+    small = placed.where("__blocks is null").select(key, *zero("i", "j", "side"), "rid")
+    large = placed.where("__blocks is not null").withColumn("__own", F.pmod(F.xxhash64("rid"), F.col("__blocks")))
+    blocks = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    heads = big.select(key, blocks("__blocks").alias("i"), *zero("j"), F.lit(1).cast("bigint").alias("side"), F.col("__head").alias("rid"))
+    first = large.where(F.col("rid") != F.col("__head")).select(key, F.col("__own").alias("i"), *zero("j", "side"), "rid").unionByName(heads)
+    met = keep(per_group(first.select(*order).join(rows, "rid"), [key, "i", "j"], MET, meet))
+    loose = met.where("not near").select(F.col("key").alias(key), "rid")
+    some = loose.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / most).cast("bigint").alias("__loose"))
+    left = beside(beside(loose, some, key), big, key).select(key, F.pmod(F.xxhash64("rid"), F.col("__loose")).alias("i"), blocks("__blocks").alias("j"), *zero("side"), "rid")
+    right = beside(large, some, key).select(key, blocks("__loose").alias("i"), F.col("__own").alias("j"), F.lit(1).cast("bigint").alias("side"), "rid")
+    tasks = small.select(*order).unionByName(left.select(*order)).unionByName(right.select(*order))
+    return per_group(tasks.join(rows, "rid"), [key, "i", "j"], out, work).unionByName(star(met, big, key))
 
 
 # -- the operator -------------------------------------------------------------------------------
@@ -323,85 +378,167 @@ def _classes(docs: DataFrame, n: int, num: int, den: int, order: np.ndarray, id_
 
         return kernel
 
-    return map_documents(docs, make, fields("n_shingles bigint, rid bigint, prefix array<bigint>, map binary"), text_col=text_col, keep=(id_col,))
+    keyed = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias(TEXT), *_row_keys(id_col, text_col))
+    return map_documents(keyed, make, fields("n_shingles bigint, rid bigint, prefix array<bigint>, map binary"), text_col=TEXT, keep=(id_col, *KEYS))
 
 
-def _filter_bits(ids: np.ndarray) -> np.ndarray:
-    x = ids.astype(np.int64).view(U64)
-    return (mix(x, x) >> U64(64 - FILTER_BITS)).astype(np.int64)
+def _filter_at(hashes: np.ndarray, width: int) -> np.ndarray:
+    return (hashes.astype(np.int64).view(U64) >> U64(64 - width)).astype(np.int64)
 
 
-def _bits_of(involved: DataFrame) -> np.ndarray:
-    """A fixed-size filter (2 MB) of document ids, built from parts in parallel; null ids count as -1."""
-    parts = 64
+def _bits_of(frame: DataFrame) -> tuple[np.ndarray, int]:
+    """A filter of the hashes ``h`` of a kept frame, sixteen bits for each up to 32 MB, built from parts
+    in parallel; and the binary logarithm of its size.  Beyond that size more passes than needs to."""
+    width = min(FILTER_MOST, max(FILTER_LEAST, (FILTER_EACH * frame.count()).bit_length()))
 
     def fill(table: pa.Table) -> pa.Table:
-        at = np.unique(_filter_bits(table["id"].to_numpy()))
+        at = np.unique(_filter_at(table["h"].to_numpy(), width))
         return pa.table({"bits": pa.array([zstandard.compress(np.diff(at, prepend=0).astype("<u4").tobytes(), 1)], pa.binary())})
 
-    rows = involved.select(F.coalesce("rep", F.lit(-1)).alias("id"), F.pmod(F.xxhash64("rep"), F.lit(parts)).alias("part")).groupBy("part").applyInArrow(fill, "bits binary").collect()
-    bits = np.zeros(1 << FILTER_BITS, bool)
+    rows = frame.select("h", F.shiftrightunsigned("h", 64 - 6).alias("part")).groupBy("part").applyInArrow(fill, "bits binary").collect()
+    bits = np.zeros(1 << width, bool)
     for r in rows:
         bits[np.cumsum(np.frombuffer(zstandard.decompress(r.bits), "<u4"))] = True
-    return np.packbits(bits)
+    return np.packbits(bits), width
+
 
+def _passes(found: tuple[np.ndarray, int], hashes: np.ndarray) -> np.ndarray:
+    packed, width = found
+    at = _filter_at(hashes, width)
+    return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _posted(batch: pa.RecordBatch, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Class and hash of each posting of (rid, n_shingles, prefix) rows: every token under two sizes."""
+    lists, step = batch.column(2), max(np.log(den / num), 1e-9) * (1 + 1e-9)
+    lengths = pc.list_value_length(lists).to_numpy()
+    size = np.repeat(np.floor(np.log(batch.column(1).to_numpy()) / step).astype(U64), lengths)
+    rid, tokens = np.repeat(batch.column(0).to_numpy(), lengths), lists.flatten().to_numpy().view(U64)
+    return np.tile(rid, 2), np.concatenate([mix(tokens, size), mix(tokens, size + U64(1))])
+
+
+def _postings(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(rid, token) of the postings that two classes may share; classes: rid, n_shingles, prefix.
+
+    The ranges see hashes of eight bits more than all postings take to count: one in 256 or so passes
+    as shared that isn't.
+    """
+    total = 2 * (classes.agg(F.sum(F.size("prefix").cast("bigint"))).first()[0] or 0)
+    width = min(64, total.bit_length() + 8)
+    bits = (max(LEAST_RANGES, -(-total // RANGE_TOKENS)) - 1).bit_length()
+    width = max(width, bits, FILTER_LEAST)
+
+    def ask(batches):
+        held, size = [], 0
+
+        def full():
+            rid, tokens = (np.concatenate(x) for x in zip(*held))
+            tokens = tokens >> U64(64 - width)
+            order = np.lexsort((rid, tokens))
+            rid, tokens = rid[order], tokens[order]
+            new = np.append(True, tokens[1:] != tokens[:-1])
+            twice = np.logical_or.reduceat(np.append(False, ~new[1:] & (rid[1:] != rid[:-1])), np.flatnonzero(new))
+            tokens = tokens[new]
+            cuts = [*np.searchsorted(tokens, np.arange(1 << bits, dtype=U64) << U64(width - bits)).tolist(), len(tokens)]
+            rows = [(r, delta(tokens[a:b]), np.packbits(twice[a:b]).tobytes()) for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], names=["part", "tokens", "twice"])
+
+        for batch in batches:
+            held.append(_posted(batch, num, den))
+            size += len(held[-1][0])
+            if size >= RANGE_TOKENS:
+                yield full()
+                held, size = [], 0
+        if size:
+            yield full()
+
+    def shared(table: pa.Table) -> pa.Table:
+        got = [undelta(t) for t in table["tokens"].to_pylist()]
+        twice = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8))[: len(g)] for b, g in zip(table["twice"].to_pylist(), got)])
+        tokens, at, n = np.unique(np.concatenate(got), return_inverse=True, return_counts=True)
+        return pa.table({"h": (tokens[(n > 1) | (np.bincount(at, twice, len(tokens)) > 0)] << U64(64 - width)).view(np.int64)})
+
+    asked = classes.mapInArrow(ask, T.StructType(fields("part bigint, tokens binary, twice binary")))
+    found = classes.sparkSession.sparkContext.broadcast(_bits_of(keep(asked.groupBy("part").applyInArrow(shared, "h bigint"))))
+
+    def post(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            new = [i for i, r in enumerate(batch.column(0).to_pylist()) if r not in seen and not seen.add(r)]
+            rid, tokens = _posted(batch.take(pa.array(new, pa.int64())), num, den)
+            ok = _passes(found.value, tokens)
+            yield pa.RecordBatch.from_arrays([pa.array(rid[ok], pa.int64()), pa.array(tokens[ok].view(np.int64))], names=["rid", "token"])
 
-def _sets(docs: DataFrame, n: int, bits: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """The sets of the documents that pass the filter."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    return classes.mapInArrow(post, T.StructType(fields("rid bigint, token bigint")))
+
+
+def _sets(docs: DataFrame, n: int, found: tuple[np.ndarray, int], id_col: str, text_col: str) -> DataFrame:
+    """The sets of the documents whose hashed id passes the filter."""
+    shared = docs.sparkSession.sparkContext.broadcast(found)
     out = T.StructType(fields("rid bigint, tokens binary"))
 
     def run(batches):
-        packed = shared.value
         for batch in (part for whole in batches for part in slices(whole, 1)):
-            at = _filter_bits(batch.column(0).to_numpy(zero_copy_only=False))
-            rows = np.flatnonzero(packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
+            rows = np.flatnonzero(_passes(shared.value, batch.column(0).to_numpy(zero_copy_only=False)))
             made = [t for t in (shingles(x, n) for x in as_bytes(batch.column(1).take(pa.array(rows)))) if len(t)]
             yield pa.RecordBatch.from_arrays([pa.array([class_of(t) for t in made], pa.int64()), pa.array([t.tobytes() for t in made], pa.binary())], names=out.names)
 
-    return docs.select(F.coalesce(F.col(f"`{id_col}`"), F.lit(-1)).cast("bigint"), F.col(f"`{text_col}`").cast("string")).mapInArrow(run, out)
+    return docs.select(F.xxhash64(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).mapInArrow(run, out)
 
 
 def connected(links: DataFrame, a: str, b: str) -> DataFrame:
     """Least member (root) of each node (rid) that has a link, by alternating large and small stars."""
+    spark = links.sparkSession
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    before = None
+    path, before = None, None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = beside(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = checkpoint(small.select("e.u", "e.v").where("u <> v").distinct())
+        small = beside(large, least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        last, path = path, write(small.select("e.u", "e.v").where("u <> v").distinct())
+        if last:
+            remove(spark, last)
+        edges = read(spark, path, "u bigint, v bigint")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "rid")
         before = now
 
 
-def components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents with n_shingles and component_id, the least id reachable by links.
+KEYS = ("__k1", "__k2")
 
-    Two documents link when den * intersection >= num * union of their sets of distinct n-word
-    windows (ASCII letters lower-cased; fewer words make one window).  Null texts and texts without
-    words have empty sets and link with nothing.  A row with a null id takes the least id of its
-    component, null if there is none.  Repeated rows give repeated results; no rows give none.
-    Input columns other than the id are dropped.
-    """
+
+def _row_keys(id_col: str, text_col: str) -> list:
+    """96 bits that tell rows of different ids or texts apart."""
+    of = [F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")]
+    return [f(*of).alias(k) for f, k in zip((F.xxhash64, F.hash), KEYS)]
+
+
+def _solve(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Of every row the id, keys, n_shingles and rid (its class; null without words), kept; and of every
+    rid the root of its component."""
+    if not 0 < num <= den:
+        raise ValueError("the similarity must lie above 0 and not above 1")
     order = _token_order(docs, n, text_col)
-    every = checkpoint(_classes(docs, n, num, den, order, id_col, text_col))
-    reps = every.where("rid is not null").groupBy("rid").agg(F.min(id_col).alias("rep"), F.first("n_shingles").alias("n"), F.first("map").alias("map"), F.first("prefix").alias("prefix"))
-    posted = reps.select("rid", F.explode("prefix").alias("token"))
+    every = keep(_classes(docs, n, num, den, order, id_col, text_col))
+    worded = every.where("rid is not null")
+    posted = keep(_postings(worded.select("rid", "n_shingles", "prefix"), num, den))
     groups = posted.groupBy("token").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo <> hi").select("token", "lo")
-    members = posted.join(groups, "token").select("lo", "rid").distinct()
-    members = in_blocks(members.join(reps.select("rid", "n", "map"), "rid"), "lo", SIGNATURE_BLOCK)
+    members = keep(beside(posted, groups, "token").select("lo", "rid").distinct())
+    maps = worded.groupBy("rid").agg(F.first("n_shingles").alias("n"), F.first("map").alias("map"))
+
+    def named(rid: np.ndarray, lo: int, task: int) -> np.ndarray:
+        return mix(mix(rid.astype(np.int64).view(U64), np.full(len(rid), lo, np.int64).view(U64)), np.full(len(rid), task, U64)).view(np.int64)
+
+    def columns(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        return rows["rid"].to_numpy(), rows["n"].to_numpy(), [np.frombuffer(m, "<u8") for m in rows["map"].to_pylist()]
 
     def cluster(rows: pa.Table) -> dict[str, list] | None:
-        if rows.num_rows < 2:
-            return None
-        rid, side, i, j, lo = (rows[c].to_numpy() for c in ("rid", "side", "i", "j", "lo"))
-        maps = [np.frombuffer(m, "<u8") for m in rows["map"].to_pylist()]
-        links = link(rows["n"].to_numpy(), maps, None if i[0] == j[0] else side, num, den, None)
+        side, i, j, lo = (rows[c].to_numpy() for c in ("side", "i", "j", "lo"))
+        rid, sizes, bits = columns(rows)
+        links = link(rid, sizes, bits, side if side.any() else None, num, den, None) if len(rid) > 1 else []
         if not links:
             return None
         union = Union(len(rid))
@@ -409,39 +546,85 @@ def components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id
             union.join(x, y)
         seen = sorted({x for pair in links for x in pair})
         names = np.array([union.find(x) for x in seen])
-        key = mix(mix(rid[names].astype(np.int64).view(U64), np.full(len(seen), lo[0], np.int64).view(U64)), np.full(len(seen), (int(i[0]) << 32) + int(j[0]), U64))
-        return {"cluster": key.view(np.int64).tolist(), "rid": rid[seen].tolist()}
+        return {"cluster": named(rid[names], lo[0], (int(i[0]) << 32) + int(j[0]) + 1).tolist(), "rid": rid[seen].tolist()}
+
+    def meet_maps(rows: pa.Table) -> dict[str, list]:
+        rid, sizes, bits = columns(rows)
+        side, head = rows["side"].to_numpy() == 1, int(rows["side"].to_numpy().argmax())
+        near = near_head(bits[head], sizes[head], sizes, bits, num, den)
+        return {"key": rows["lo"].to_numpy()[~side].tolist(), "rid": rid[~side].tolist(), "near": near[~side].tolist()}
+
+    def star_of_maps(met: DataFrame, big: DataFrame, key: str) -> DataFrame:
+        name = F.xxhash64(F.lit("star"), "lo").alias("cluster")
+        return met.where("near").select(F.col("key").alias("lo"), "rid").union(big.select("lo", F.col("__head"))).select(name, "rid")
 
-    clusters = checkpoint(per_group(members, ["lo", "i", "j"], fields("cluster bigint, rid bigint"), cluster))
-    involved = clusters.select("rid").distinct().join(every.where("rid is not null").groupBy("rid").agg(F.min(id_col).alias("rep")), "rid")
-    sets = _sets(docs, n, _bits_of(involved), id_col, text_col).groupBy("rid").agg(F.first("tokens").alias("tokens"))
-    dealt = in_blocks(clusters, "cluster", SET_BLOCK).join(sets, "rid").select("cluster", "i", "j", "side", "rid", "tokens")
+    out = fields("cluster bigint, rid bigint")
+    clusters = keep(over_groups(members, "lo", SIGNATURE_BLOCK, maps, out, cluster, meet_maps, star_of_maps).distinct())
+    reps = worded.groupBy("rid").agg(F.min(id_col).alias("rep"))
+    involved = clusters.select("rid").distinct().join(reps, "rid").select(F.xxhash64("rep").alias("h")).distinct()
+    sets = _sets(docs, n, _bits_of(keep(involved)), id_col, text_col).groupBy("rid").agg(F.first("tokens").alias("tokens"))
+
+    def same(x: np.ndarray, y: np.ndarray) -> bool:
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return den * both >= num * (len(x) + len(y) - both)
 
     def decide(rows: pa.Table) -> dict[str, list] | None:
-        if rows.num_rows < 2:
-            return None
         tokens = [np.frombuffer(t, "<u8") for t in rows["tokens"].to_pylist()]
-        sizes = np.array([len(t) for t in tokens])
         rid, side = rows["rid"].to_numpy(), rows["side"].to_numpy()
+        bits = [bitmap(t, 4 * width_for(len(t))) for t in tokens]
+        links = link(rid, np.array([len(t) for t in tokens]), bits, side if side.any() else None, num, den, lambda x, y: same(tokens[x], tokens[y])) if len(rid) > 1 else []
+        return {"a": [int(rid[x]) for x, _ in links], "b": [int(rid[y]) for _, y in links]} if links else None
 
-        def same(x: int, y: int) -> bool:
-            both = len(np.intersect1d(tokens[x], tokens[y], assume_unique=True))
-            return den * both >= num * (len(tokens[x]) + len(tokens[y]) - both)
+    def meet_sets(rows: pa.Table) -> dict[str, list]:
+        side, rid = rows["side"].to_numpy() == 1, rows["rid"].to_numpy()
+        tokens = [np.frombuffer(t, "<u8") for t in rows["tokens"].to_pylist()]
+        head = tokens[int(side.argmax())]
+        near = [same(head, t) for t, s in zip(tokens, side) if not s]
+        return {"key": rows["cluster"].to_numpy()[~side].tolist(), "rid": rid[~side].tolist(), "near": near}
+
+    def star_of_sets(met: DataFrame, big: DataFrame, key: str) -> DataFrame:
+        return beside(met.where("near").select(F.col("key").alias("cluster"), "rid"), big, "cluster").select(F.col("__head").alias("a"), F.col("rid").alias("b"))
+
+    links = keep(over_groups(clusters, "cluster", SET_BLOCK, sets, fields("a bigint, b bigint"), decide, meet_sets, star_of_sets))
+    return every, connected(links, "a", "b")
 
-        maps = [bitmap(t, 4 * width_for(len(t))) for t in tokens]
-        links = link(sizes, maps, None if rows["i"][0].as_py() == rows["j"][0].as_py() else side, num, den, same)
-        return {"a": [int(rid[x]) for x, _ in links], "b": [int(rid[y]) for _, y in links]} if links else None
 
-    links = checkpoint(per_group(dealt, ["cluster", "i", "j"], fields("a bigint, b bigint"), decide))
-    roots = connected(links, "a", "b")
-    least = every.where("rid is not null").groupBy("rid").agg(F.min(id_col).alias("rep")).join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    named = least.select("rid", "root").join(least.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("rid", "component_id")
-    with_words = every.where("rid is not null").select(id_col, "n_shingles", "rid").join(named, "rid").select(id_col, "n_shingles", "component_id")
+def components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents with n_shingles and component_id, the least id reachable by links.
+
+    Two documents link when den * intersection >= num * union of their sets of distinct n-word
+    windows (ASCII letters lower-cased; fewer words make one window); 0 < num <= den, or it raises.
+    Null texts and texts without words have empty sets and link with nothing.  A row with a null id
+    takes the least id of its component, null if there is none.  Rows may repeat an id or be
+    repeated whole: each gives a row of its own, and texts of one id link by their sets alone.  Ids
+    may be of any type with an order.  Texts of any length are taken whole; ties of similarity at
+    the bound link.  No rows give none.  Input columns other than the id are dropped, whatever their
+    names.
+    """
+    every, roots = _solve(docs, n, num, den, id_col, text_col)
+    worded = every.where("rid is not null")
+    least = worded.groupBy("rid").agg(F.min(id_col).alias("rep")).join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    named = beside(least.select("rid", "root"), least.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("rid", "component_id")
+    with_words = beside(worded.select(id_col, "n_shingles", "rid"), named, "rid").select(id_col, "n_shingles", "component_id")
     return with_words.unionByName(every.where("rid is null").select(id_col, "n_shingles", F.col(id_col).alias("component_id")))
 
 
 def keep_one(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows, of each component those of its least id; repeated rows of an id stay together."""
-    found = components(docs, n=n, num=num, den=den, id_col=id_col, text_col=text_col)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col)
-    return docs.join(gone, id_col, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """The input's rows with their columns, of each component one row: the one of the least id (null ids
+    last), among texts of that id any one.  Of rows with the same id and text any one stays.  Rows
+    whose text has no words all stay.  An id that stands for several texts may stay in several
+    components.  Otherwise as ``components``.
+    """
+    every, roots = _solve(docs, n, num, den, id_col, text_col)
+    rows = every.where("rid is not null").select("rid", *KEYS, F.col(id_col).isNull().alias("nameless"), F.col(id_col).alias("name"))
+    placed = beside(rows, roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    best = placed.groupBy("root").agg(F.min(F.struct("nameless", "name", *KEYS)).alias("best"))
+    gone = beside(placed, best, "root").where(~(F.col(KEYS[0]) == F.col(f"best.{KEYS[0]}")) | ~(F.col(KEYS[1]) == F.col(f"best.{KEYS[1]}")))
+    keyed = docs.select(*[f"`{c}`" for c in docs.columns], *_row_keys(id_col, text_col))
+    left = keyed.join(keep(gone.select(*KEYS).distinct()), list(KEYS), "left_anti")
+    repeated = keep(rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*KEYS))
+    columns = [f"`{c}`" for c in docs.columns]
+    if repeated.isEmpty():
+        return left.select(*columns)
+    once = left.join(repeated, list(KEYS), "left_semi").dropDuplicates(list(KEYS))
+    return left.join(repeated, list(KEYS), "left_anti").select(*columns).unionByName(once.select(*columns))
