@@ -23,6 +23,14 @@ def exact_bins(pixels: DataFrame) -> DataFrame:
     )
 
 
+def coarse_bins(pixels: DataFrame) -> DataFrame:
+    """Bins of the coarse grid, straight from pixels."""
+    a = F.col("a")
+    return pixels.groupBy("image_id", *E.coarse_key_of(*E.CHANNELS)).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{c}") for c in E.CHANNELS], *[F.sum(a * F.col(c)).alias(f"sa{c}") for c in "rgb"]
+    )
+
+
 def coarsen(bins: DataFrame) -> DataFrame:
     """Exact bins brought to the grid of 16 levels a channel."""
     keyed = bins.select("image_id", *E.coarse_key_of(*KEY), *SUMS)

@@ -1,106 +1,87 @@
 """Palettes in the Oklab space: the same start, refined and assigned by premultiplied Oklab distance.
 
-Each distinct colour's feature is computed in the JVM and summed per bin as integers of 2**-32, so
-sums don't depend on partitioning.  Distances are squared by multiplication; near ties within
-rounding may fall otherwise than with another way of squaring.
+Reals are used in one order throughout: powers by the C library, a bin's features added pixel by
+pixel, so an image gives the same bytes wherever it runs.  That takes an image's pixels in their
+order, so it works on whole images and not on pixel rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tessera.functions import expr as E
-from tessera.operators import histogram as H
 from tessera.operators import palette as P
 
-UNIT = 1 << 32
-FEATURES = ("fl", "fa", "fb")
+FEATURES = ("fl", "fa", "fb", "fw")
 #: The published inverse matrices of the Oklab colour space.
 FROM_LAB = ((1.0, 0.3963377774, 0.2158037573), (1.0, -0.1055613458, -0.0638541728), (1.0, -0.0894841775, -1.2914855480))
 FROM_LMS = ((4.0767416621, -3.3077115913, 0.2309699292), (-1.2684380046, 2.6097574011, -0.3413193965), (-0.0041960863, -0.7034186147, 1.7076147010))
 
+LINEAR = [x / 12.92 if x <= 0.04045 else ((x + 0.055) / 1.055) ** 2.4 for x in (v / 255.0 for v in range(256))]
 
-def bins(pixels: DataFrame, limit: int = H.EXACT_LIMIT) -> DataFrame:
-    """The histogram's bins (image_id, exact, k0..k3, sums) with summed features fl, fa, fb."""
-    exact = H.exact_bins(pixels)
-    lab = E.oklab(*H.KEY[:3])
-    whole = [F.round(F.col("k3") / 255.0 * x * float(UNIT)).cast("bigint") * F.col("n") for x in lab]
-    exact = exact.withColumns(dict(zip(FEATURES, whole)))
-    many = exact.groupBy("image_id").agg((F.count(F.lit(1)) <= limit).alias("exact"))
-    keyed = exact.join(many, "image_id").select(
-        "image_id", "exact", *[F.when(F.col("exact"), F.col(k)).otherwise(c).alias(k) for k, c in zip(H.KEY, E.coarse_key_of(*H.KEY))], *H.SUMS, *FEATURES)
-    return keyed.groupBy("image_id", "exact", *H.KEY).agg(*[F.sum(s).alias(s) for s in (*H.SUMS, *FEATURES)])
 
+def dot(row, xs) -> float:
+    return row[0] * xs[0] + row[1] * xs[1] + row[2] * xs[2]
 
-def feature(palette: np.ndarray) -> np.ndarray:
-    """Premultiplied Oklab features of 8-bit colours; transparent ones are all zero."""
-    x = palette[:, :3] / 255.0
-    linear = np.where(x <= 0.04045, x / 12.92, ((x + 0.055) / 1.055) ** 2.4)
-    lab = np.cbrt(linear @ np.array(E.TO_LMS).T) @ np.array(E.TO_LAB).T
-    alpha = palette[:, 3:] / 255.0
-    return np.concatenate([lab * alpha, alpha], 1)
-
-
-def colour(n, sa, fl, fa, fb) -> np.ndarray:
-    """8-bit colours of summed features: alpha from its integer mean, the rest through the inverse."""
-    n, sa = np.atleast_1d(n), np.atleast_1d(sa)
-    lab = np.stack([np.atleast_1d(f) for f in (fl, fa, fb)], -1) / UNIT / np.maximum(sa, 1)[:, None] * 255.0
-    linear = (lab @ np.array(FROM_LAB).T) ** 3 @ np.array(FROM_LMS).T
-    x = np.where(linear <= 0.0031308, linear * 12.92, 1.055 * np.maximum(linear, 0) ** (1 / 2.4) - 0.055)
-    rgb = np.floor(np.clip(x, 0, 1) * 255 + 0.5).astype(np.int64)
-    out = np.concatenate([rgb, P.half_up(sa, n)[:, None]], 1)
-    out[out[:, 3] == 0] = 0
-    return out
 
+def root(v: float) -> float:
+    return 0.0 if v == 0 else abs(v) ** (1.0 / 3.0) * (1.0 if v > 0 else -1.0)
 
-def _points(b: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    means = np.stack([b[f] / UNIT for f in FEATURES] + [b["sa"] / 255.0], -1) / b["n"][:, None]
-    return means, P.zone(P.half_up(b["sa"], b["n"]))
 
+def to_lab(r: int, g: int, b: int) -> tuple[float, float, float]:
+    linear = LINEAR[r], LINEAR[g], LINEAR[b]
+    roots = [root(dot(row, linear)) for row in E.TO_LMS]
+    return tuple(dot(row, roots) for row in E.TO_LAB)
 
-def fit(b: dict[str, np.ndarray], colours: int, exact: bool) -> np.ndarray:
-    """A palette of at most ``colours`` entries from bins in key order."""
-    palette, done = P.start({s: b[s] for s in H.SUMS}, colours, exact)
-    if done or not len(palette):
-        return palette
-    few = {k: v[P.sample_of(len(b["n"]))] for k, v in b.items()}
-    points, zones = _points(few)
-    spare = colour(few["n"], few["sa"], *(few[f] for f in FEATURES))
-    spare[zones == 2, 3] = 255
-    return P.refine(palette, points, zones, spare, feature, lambda rows: colour(*(few[s][rows].sum() for s in ("n", "sa", *FEATURES)))[0])
 
+def from_linear(v: float) -> int:
+    v = min(max(v, 0.0), 1.0)
+    x = 12.92 * v if v <= 0.0031308 else 1.055 * v ** (1.0 / 2.4) - 0.055
+    return int(min(max((x * 255.0 + 0.5) // 1.0, 0.0), 255.0))
 
-def _columns(table: pa.Table) -> dict[str, np.ndarray]:
-    return {s: table[s].to_numpy() for s in (*H.SUMS, *FEATURES)}
 
+def from_lab(lab) -> tuple[int, int, int]:
+    cubes = [x * x * x for x in (dot(row, lab) for row in FROM_LAB)]
+    return tuple(from_linear(dot(row, cubes)) for row in FROM_LMS)
 
-def fit_palettes(found: DataFrame, colours: int = 256) -> DataFrame:
-    """Palettes of all images from their bins: image_id, idx, r, g, b, a."""
 
-    def work(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(k, "ascending") for k in H.KEY])
-        got = fit(_columns(table), colours, table["exact"][0].as_py())
-        return pa.table({"image_id": pa.array([table["image_id"][0].as_py()] * len(got), pa.int64()), "idx": pa.array(range(len(got)), pa.int64())} | {c: pa.array(got[:, i], pa.int64()) for i, c in enumerate("rgba")})
+def feature(colours: np.ndarray) -> np.ndarray:
+    """Premultiplied Oklab features of 8-bit colours; transparent ones are all zero."""
+    out = np.zeros((len(colours), 4))
+    for i, (r, g, b, a) in enumerate(colours.tolist()):
+        if a:
+            w = a / 255.0
+            lab = to_lab(r, g, b)
+            out[i] = w * lab[0], w * lab[1], w * lab[2], w
+    return out
 
-    return found.groupBy("image_id").applyInArrow(work, "image_id bigint, idx bigint, r bigint, g bigint, b bigint, a bigint")
 
+def centre(n: int, sa: int, fl: float, fa: float, fb: float) -> np.ndarray:
+    """The 8-bit colour of summed features: alpha from its integer mean, the rest through the inverse."""
+    a = int(P.half_up(int(sa), int(n)))
+    if not a or not sa:
+        return np.zeros(4, np.int64)
+    w = float(sa) / 255.0
+    return np.array([*from_lab((fl / w, fa / w, fb / w)), a], np.int64)
 
-def remap(pixels: DataFrame, found: DataFrame, palette: DataFrame) -> DataFrame:
-    """Index of every pixel: its bin's nearest entry by Oklab distance, joined by the bin's key."""
-    out = "image_id bigint, exact boolean, k0 bigint, k1 bigint, k2 bigint, k3 bigint, idx bigint"
-    names = ["image_id", "exact", *H.KEY]
 
-    def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.table({n: pa.array([], pa.bool_() if n == "exact" else pa.int64()) for n in (*names, "idx")})
-        entries = np.stack([right.sort_by("idx")[c].to_numpy() for c in "rgba"], -1)
-        own, _ = P.serve(*_points(_columns(left)), feature(entries), P.zone(entries[:, 3]))
-        return left.select(names).append_column("idx", pa.array(own, pa.int64()))
+def added(b: dict[str, np.ndarray], rows: np.ndarray) -> list:
+    """Sums over bins, from the first to the last."""
+    return [int(b["n"][rows].sum()), int(b["sa"][rows].sum()), *(sum(b[f][rows].tolist(), 0.0) for f in FEATURES[:3])]
+
+
+def fit(b: dict[str, np.ndarray], colours: int, exact: bool, hidden: str = P.HIDDEN[0]) -> P.Fitted:
+    """A palette of at most ``colours`` entries from bins in key order with summed features."""
+    palette, done = P.start(b, colours, exact, hidden)
+    if done or not len(palette):
+        return P.Fitted(palette, True, len(palette))
+    few = {k: v[P.sample_of(len(b["n"]))] for k, v in b.items()}
+    zones = P.zone(P.half_up(few["sa"], few["n"]))
+    spare = np.stack([centre(*x) for x in zip(*(few[k].tolist() for k in ("n", "sa", *FEATURES[:3])))])
+    spare[zones == 2, 3] = 255
+    refined, rounds = P.refine(palette, means(few), zones, spare, feature, lambda rows: centre(*added(few, rows)))
+    return P.Fitted(refined, False, len(palette), rounds)
+
 
-    chosen = found.groupBy("image_id").cogroup(palette.groupBy("image_id")).applyInArrow(work, out)
-    both = pixels.join(chosen.groupBy("image_id").agg(F.first("exact").alias("exact")), "image_id")
-    keyed = both.select("image_id", "pos", "y", "x", *[F.when(F.col("exact"), F.col(c)).otherwise(k).alias(f"k{i}") for i, (c, k) in enumerate(zip(E.CHANNELS, E.coarse_key_of(*E.CHANNELS)))])
-    return keyed.join(chosen.select("image_id", *H.KEY, "idx"), ["image_id", *H.KEY]).select("image_id", "pos", "y", "x", "idx")
+def means(b: dict[str, np.ndarray]) -> np.ndarray:
+    return np.stack([b[f] for f in FEATURES], -1) / b["n"].astype(float)[:, None]

@@ -1,11 +1,14 @@
-"""Palette orders, index rows and row filters as windows and grouped sums."""
+"""Palette orders and index rows as windows and grouped sums; row filters value by value."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import expr as E
+from tessera.operators import pack
 
 
 def ranked(palette: DataFrame, *keys) -> DataFrame:
@@ -66,25 +69,67 @@ def packed_rows(assigned: DataFrame, depth: int) -> DataFrame:
     return assigned.groupBy("image_id", "y", E.div("x", F.lit(per)).alias("x")).agg(F.sum(F.col("idx") * shift).alias("v"))
 
 
-def filtered(rows: DataFrame) -> DataFrame:
-    """Every byte under each of the five row filters (predictors look at unfiltered neighbours)."""
-    row, column = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
-    zero = F.lit(0).cast("bigint")
-    got = rows.select("image_id", "y", "x", "v", F.coalesce(F.lag("v").over(row), zero).alias("left"), F.coalesce(F.lag("v").over(column), zero).alias("up"))
-    got = got.withColumn("corner", F.coalesce(F.lag("up").over(row), zero))
-    predicted = [zero, F.col("left"), F.col("up"), E.div(F.col("left") + F.col("up"), F.lit(2)), E.paeth("left", "up", "corner")]
-    kinds = F.array(*[F.struct(F.lit(i).cast("bigint").alias("filter"), (F.col("v") - p).bitwiseAND(255).alias("f")) for i, p in enumerate(predicted)])
-    return got.select("image_id", "y", "x", F.explode(kinds).alias("k")).select("image_id", "y", "x", "k.filter", "k.f")
+def _lines(images: DataFrame, column: str, width: int, schema: str, make) -> DataFrame:
+    """Columns that ``make(name, filtered)`` gives of each binary value as rows of ``width`` bytes, the
+    last one padded with zeros; ``filtered`` is (5, rows, width).  No exchange: a value has its rows."""
+    names = [part.split(" ")[0] for part in schema.split(", ")]
 
+    def run(batches):
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                raw = np.frombuffer(body or b"", np.uint8)
+                for lo, rows, above in _parts(raw, width):
+                    made = make(name, lo, pack.all_filters(rows, above), len(raw))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], names=names)
 
-def scores(rows: DataFrame) -> DataFrame:
-    return filtered(rows).groupBy("image_id", "y", "filter").agg(F.sum(E.residual_score("f")).alias("score"))
+    return images.select("image_id", F.col(column)).mapInArrow(run, schema)
 
 
-def best_filters(rows: DataFrame) -> DataFrame:
+def _parts(raw: np.ndarray, width: int, most: int = 4096):
+    """A value's rows, ``most`` at a time, with the row above each part."""
+    n = -(-len(raw) // width)
+    rows = np.zeros((n, width), np.uint8)
+    rows.ravel()[: len(raw)] = raw
+    for lo in range(0, n, most):
+        yield lo, rows[lo : lo + most], rows[lo - 1] if lo else np.zeros(width, np.uint8)
+
+
+def filtered(images: DataFrame, column: str, width: int) -> DataFrame:
+    """Every row under each of the five row filters: y, filter, f (the bytes that the value has there)."""
+
+    def make(name: int, lo: int, every: np.ndarray, size: int):
+        k, n, _ = every.shape
+        y = np.repeat(np.arange(lo, lo + n), k)
+        f = [every[j, i].astype(np.uint8).tobytes()[: max(0, size - (lo + i) * width)] for i in range(n) for j in range(k)]
+        return np.full(k * n, name), y, np.tile(np.arange(k), n), pa.array(f, pa.binary())
+
+    return _lines(images, column, width, "image_id bigint, y bigint, filter bigint, f binary", make)
+
+
+def _scored(every: np.ndarray, lo: int, size: int) -> np.ndarray:
+    """(5, rows): sum of residuals over the bytes that the value has."""
+    _, n, width = every.shape
+    there = (np.arange(lo, lo + n) * width)[:, None] + np.arange(width) < size
+    return (np.where(every < 128, every, 256 - every) * there).sum(2)
+
+
+def scores(images: DataFrame, column: str, width: int) -> DataFrame:
+    def make(name: int, lo: int, every: np.ndarray, size: int):
+        found = _scored(every, lo, size)
+        k, n = found.shape
+        return np.full(k * n, name), np.repeat(np.arange(lo, lo + n), k), np.tile(np.arange(k), n), found.T.ravel()
+
+    return _lines(images, column, width, "image_id bigint, y bigint, filter bigint, score bigint", make)
+
+
+def best_filters(images: DataFrame, column: str, width: int) -> DataFrame:
     """The filter of least residual for each row; ties take the lowest."""
-    best = F.min(F.struct("score", "filter")).alias("m")
-    return scores(rows).groupBy("image_id", "y").agg(best).select("image_id", "y", F.col("m.filter").alias("filter"), F.col("m.score").alias("score"))
+
+    def make(name: int, lo: int, every: np.ndarray, size: int):
+        found = _scored(every, lo, size)
+        return np.full(found.shape[1], name), np.arange(lo, lo + found.shape[1]), found.argmin(0), found.min(0)
+
+    return _lines(images, column, width, "image_id bigint, y bigint, filter bigint, score bigint", make)
 
 
 def smallest(variants: DataFrame) -> DataFrame:

@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessera.errors import DataError, InternalError
 from tessera.operators import histogram as H
 
-#: Bounds of the fit.
+#: Bounds of the fit, and what the colour of transparent pixels becomes.
 LADDER_LEVELS, LADDER_ROUNDS, REPRESENTATIVES, POLISH, REFINE = 8, 32, 32, 4, 8
+HIDDEN = ("canonicalize-black", "preserve-mean")
+
+
+@dataclass
+class Fitted:
+    """A palette and how it came about."""
+
+    palette: np.ndarray
+    exact_path: bool  # the bins themselves
+    pairs: int  # entries before refinement
+    rounds: int = 0
 
 
 def half_up(n, d):
@@ -92,19 +106,32 @@ def sample_of(n: int) -> np.ndarray:
     return np.arange(0, n, max(1, -(-n // H.SAMPLE_CAP)))
 
 
-def fit(bins: dict[str, np.ndarray], colours: int, exact: bool) -> np.ndarray:
+def fit(bins: dict[str, np.ndarray], colours: int, exact: bool, hidden: str = HIDDEN[0]) -> Fitted:
     """A palette of at most ``colours`` entries from bins in key order."""
-    palette, done = start(bins, colours, exact)
-    if done:
-        return palette
+    palette, done = start(bins, colours, exact, hidden)
+    if done or not len(palette):
+        return Fitted(palette, True, len(palette))
     few = {k: v[sample_of(len(bins["n"]))] for k, v in bins.items()}
     means = np.stack([half_up(few[f"s{c}"], few["n"]) for c in "rgba"], -1)
     points = np.stack([half_up(few[f"sa{c}"], few["n"]) for c in "rgb"] + [half_up(255 * few["sa"], few["n"])], -1)
-    return refine(palette, points, zone(means[:, 3]), means, feature, lambda rows: centroid(*(few[s][rows].sum() for s in ("sa", "sar", "sag", "sab", "n"))))
+    refined, rounds = refine(palette, points, zone(means[:, 3]), means, feature, lambda rows: centroid(*(few[s][rows].sum() for s in ("sa", "sar", "sag", "sab", "n"))))
+    return Fitted(refined, False, len(palette), rounds)
 
 
-def start(bins: dict[str, np.ndarray], colours: int, exact: bool) -> tuple[np.ndarray, bool]:
-    """The palette before refinement, and whether it is exact (the bins themselves)."""
+def nearest_rows(colours: np.ndarray, reps: np.ndarray) -> np.ndarray:
+    """Nearest representative of each colour; ties take the first."""
+    return np.concatenate([square(colours[i : i + 4096], reps).argmin(1) for i in range(0, len(colours), 4096)]) if len(colours) else np.empty(0, np.int64)
+
+
+def start(bins: dict[str, np.ndarray], colours: int, exact: bool, hidden: str = HIDDEN[0]) -> tuple[np.ndarray, bool]:
+    """The palette before refinement, and whether it is exact (the bins themselves).
+
+    Bins go to slots of representative and ladder level of their zone.  The transparent slot comes
+    first, then the heaviest slot of each zone, then all others by mass (ties by packed centroid,
+    then first appearance), each with its members' centroid; equal centroids all stay.
+    """
+    if hidden not in HIDDEN:
+        raise DataError(f"unknown hidden colour policy {hidden}")
     n = bins["n"]
     means = np.stack([half_up(bins[f"s{c}"], n) for c in "rgba"], -1)
     zones = zone(means[:, 3])
@@ -114,29 +141,34 @@ def start(bins: dict[str, np.ndarray], colours: int, exact: bool) -> tuple[np.nd
     points = np.stack([half_up(bins[f"sa{c}"], n) for c in "rgb"] + [half_up(255 * bins["sa"], n)], -1)
     ladder = alpha_ladder(means[:, 3], n)
     level_zone = zone(ladder)
-    visible = sample[zones[sample] != 0]
+    visible = sample[(zones[sample] != 0) & (bins["sa"][sample] > 0)]
     reps = representatives(means[visible, :3], bins["sa"][visible], colours, int((level_zone != 0).sum()))
     entries: list[np.ndarray] = []
-    if (zones == 0).any():
-        entries.append(np.zeros(4, np.int64))
-    # slots: representative x ladder level of the bin's zone, in order of first appearance
+    clear = np.flatnonzero(zones == 0)
+    if len(clear):
+        seen = [half_up(bins[f"s{c}"][clear].sum(), n[clear].sum()) for c in "rgb"] if hidden == "preserve-mean" else [0, 0, 0]
+        entries.append(np.array([*seen, 0], np.int64))
     rows = np.flatnonzero(zones != 0)
-    rep = np.concatenate([square(means[rows[i : i + 4096], :3], reps).argmin(1) for i in range(0, len(rows), 4096)]) if len(rows) else np.empty(0, np.int64)
-    level = np.array([ladder[level_zone == z][np.abs(ladder[level_zone == z] - a).argmin()] if (level_zone == z).any() else a for z, a in zip(zones[rows], means[rows, 3])], np.int64)
-    slots, first, own = np.unique(rep * 256 + level, return_index=True, return_inverse=True) if len(rows) else (np.empty(0), np.empty(0, int), np.empty(0, int))
-    if len(slots):
-        add = lambda x: np.bincount(own, x[rows].astype(float), len(slots)).astype(np.int64)
+    if len(rows):
+        level = means[rows, 3].copy()
+        for z in (1, 2):
+            own = np.flatnonzero(zones[rows] == z)
+            if len(own) and (level_zone == z).any():
+                steps = ladder[level_zone == z]
+                level[own] = steps[np.abs(steps[None, :] - level[own, None]).argmin(1)]
+        slots, first, at = np.unique(nearest_rows(means[rows, :3], reps) * 256 + level, return_index=True, return_inverse=True)
+        add = lambda x: np.bincount(at, x[rows].astype(float), len(slots)).astype(np.int64)
         mass = add(n)
         colour = centroid(add(bins["sa"]), add(bins["sar"]), add(bins["sag"]), add(bins["sab"]), mass)
-        colour[:, 3] = slots % 256
-        slot_zone = zone(colour[:, 3])
-        order = np.lexsort((first, pack(colour), -mass))
-        heads = [next(i for i in order if slot_zone[i] == z) for z in np.unique(slot_zone)]
-        for i in [*heads, *(i for i in order if i not in set(heads))]:
-            if len(entries) >= colours:
-                break
-            if not any((colour[i] == e).all() for e in entries):
-                entries.append(colour[i])
+        slot_zone = zone(slots % 256)
+        order = np.lexsort((first, pack(colour), -mass)).tolist()
+        taken: list[int] = []
+        for z in np.unique(zones[rows]):
+            of_zone = [i for i in order if slot_zone[i] == z]
+            if of_zone and len(entries) + len(taken) < colours:
+                taken.append(of_zone[0])
+        taken += [i for i in order if i not in set(taken)]
+        entries += [colour[i] for i in taken][: max(0, colours - len(entries))]
     palette = np.array(entries, np.int64).reshape(-1, 4)
     return fill(palette, means[sample], points[sample], n[sample], zones[sample], colours), False
 
@@ -169,59 +201,94 @@ def fill(palette, means, points, n, zones, colours) -> np.ndarray:
     return palette
 
 
+def candidates(z: int, kinds: np.ndarray) -> np.ndarray:
+    """Entries that may take a point of zone z: those of its zone; for a visible point without any, all
+    visible ones, or the only entry there is."""
+    inside = np.flatnonzero(kinds == z)
+    if not len(inside) and z:
+        inside = np.flatnonzero(kinds != 0) if len(kinds) > 1 else np.arange(len(kinds))
+    if not len(inside):
+        raise InternalError("no palette entry can take a bin")
+    return inside
+
+
 def serve(points: np.ndarray, zones: np.ndarray, entries: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each point's nearest entry of its zone (ties: the first) and the distance.  A visible point whose
-    zone has no entry takes any visible one, or the only entry there is."""
+    """Each point's nearest entry of its zone (ties: the first) and the distance, with the fallback of
+    ``candidates``.  Real features are compared as ``nearest_real`` does."""
     own, far = np.zeros(len(points), np.int64), np.zeros(len(points), points.dtype)
     for z in np.unique(zones):
-        rows, inside = np.flatnonzero(zones == z), np.flatnonzero(kinds == z)
-        if not len(inside) and z:
-            inside = np.flatnonzero(kinds != 0) if len(kinds) > 1 else np.arange(len(kinds))
-        if not len(inside):
-            raise RuntimeError("no palette entry can take a bin")
+        rows, inside = np.flatnonzero(zones == z), candidates(z, kinds)
         for lo in range(0, len(rows), 4096):
             part = rows[lo : lo + 4096]
-            d = square(points[part], entries[inside])
-            own[part], far[part] = inside[d.argmin(1)], d.min(1)
+            if points.dtype.kind == "f":
+                at, far[part] = nearest_real(points[part], entries[inside])
+            else:
+                d = square(points[part], entries[inside])
+                at, far[part] = d.argmin(1), d.min(1)
+            own[part] = inside[at]
     return own, far
 
 
-def refine(palette: np.ndarray, points: np.ndarray, zones: np.ndarray, spare: np.ndarray, feature_of, centre_of) -> np.ndarray:
-    """At most eight Lloyd rounds.  An entry without bins moves to the ``spare`` colour of its zone's
-    worst-served bin; if the zone is served perfectly it goes, unless it is the zone's last."""
-    kinds, key = zone(palette[:, 3]), pack(spare)
-    for _ in range(REFINE):
+def powered(a, b) -> float:
+    """Squared distance by the power function, summed from the left."""
+    return sum(((x - y) ** 2.0 for x, y in zip(a, b)), 0.0)
+
+
+def nearest_real(points: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest entry of each point and the distance, by the power function.
+
+    Products differ from it in the last place at most, so they settle all but near ties.
+    """
+    d = square(points, entries)
+    best = d.min(1)
+    near = d <= (best * (1 + 1e-12))[:, None] + 5e-324
+    at = d.argmin(1)
+    p, e = points.tolist(), entries.tolist()
+    for i in np.flatnonzero(near.sum(1) > 1).tolist():
+        at[i] = min(np.flatnonzero(near[i]).tolist(), key=lambda j: (powered(p[i], e[j]), j))
+    return at, np.array([powered(x, e[j]) for x, j in zip(p, at.tolist())])
+
+
+def refine(palette: np.ndarray, points: np.ndarray, zones: np.ndarray, spare: np.ndarray, feature_of, centre_of) -> tuple[np.ndarray, int]:
+    """At most eight Lloyd rounds, and their number.  An entry without bins moves to the ``spare`` colour
+    of its zone's worst-served bin; if the zone is served perfectly it goes, unless it is the zone's last."""
+    kinds, key, rounds = zone(palette[:, 3]), pack(spare), 0
+    while rounds < REFINE:
+        rounds += 1
         own, far = serve(points, zones, feature_of(palette), kinds)
         worst = {}
         for z in np.unique(zones).tolist():
             rows = np.flatnonzero(zones == z)
             ties = rows[far[rows] == far[rows].max()]
             worst[z] = far[ties[0]], spare[ties[key[ties].argmin()]]
-        left, kept, moved = np.bincount(kinds, minlength=3), [], palette.copy()
+        left, kept, moved, changed = np.bincount(kinds, minlength=3), [], palette.copy(), False
+        order = np.argsort(own, kind="stable")
+        cuts = np.searchsorted(own[order], np.arange(len(palette) + 1))
         for i, z in enumerate(kinds.tolist()):
-            rows = np.flatnonzero(own == i)
+            rows = order[cuts[i] : cuts[i + 1]]
             if z and len(rows):
                 moved[i] = centre_of(rows)
                 moved[i, 3] = 255 if z == 2 else moved[i, 3]
+                changed |= bool((moved[i] != palette[i]).any())
             elif z and z in worst and worst[z][0] > 0:
-                moved[i] = worst[z][1]
+                moved[i], changed = worst[z][1], True
             elif z and left[z] > 1:
                 left[z] -= 1
+                changed = True
                 continue
             kept.append(i)
-        moved, kinds = moved[kept], kinds[kept]
-        if np.array_equal(moved, palette):
+        palette, kinds = moved[kept], kinds[kept]
+        if not changed:
             break
-        palette = moved
-    return palette
+    return palette, rounds
 
 
-def fit_palettes(bins: DataFrame, colours: int = 256) -> DataFrame:
-    """Palettes of all images, each from its bins: image_id, exact?, k0..k3 and sums, as the histogram gives them."""
+def fit_palettes(bins: DataFrame, colours: int = 256, hidden: str = HIDDEN[0]) -> DataFrame:
+    """Palettes of all images, each from its bins: image_id, exact, k0..k3 and sums, as the histogram gives them."""
 
     def work(table: pa.Table) -> pa.Table:
         table = table.sort_by([(k, "ascending") for k in H.KEY])
-        got = fit({s: table[s].to_numpy() for s in H.SUMS}, colours, table["exact"][0].as_py())
+        got = fit({s: table[s].to_numpy() for s in H.SUMS}, colours, table["exact"][0].as_py(), hidden).palette
         return pa.table({"image_id": pa.array([table["image_id"][0].as_py()] * len(got), pa.int64()), "idx": pa.array(range(len(got)), pa.int64())} | {c: pa.array(got[:, i], pa.int64()) for i, c in enumerate("rgba")})
 
     return bins.groupBy("image_id").applyInArrow(work, "image_id bigint, idx bigint, r bigint, g bigint, b bigint, a bigint")

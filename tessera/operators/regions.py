@@ -1,11 +1,23 @@
-"""Region classes and dither directives, as windows over rows and columns of an image."""
+"""Region classes and dither directives.
+
+Gradients and seeds are windows over rows and columns.  The whole classifier needs neighbours of
+neighbours and stretches of one colour, so it is one function per image.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.errors import DataError
 from tessera.functions import expr as E
+from tessera.functions.numbers import ratio
+from tessera.operators import palette as K
+from tessera.operators import raster
 
 P = ["p0", "p1", "p2", "p3"]
 #: Least step of a hard edge, its ratio to the step beyond, alpha of a shadow.
@@ -15,6 +27,7 @@ DIRECTIVES = (
     ("transparent", "none", False, 0, 1), ("protected-exact", "none", True, 0, 1), ("flat", "none", False, 0, 1), ("hard-edge", "none", True, 0, 1),
     ("texture", "none", False, 0, 1), ("gradient-opaque", "dither", False, 1, 1), ("gradient-alpha", "dither", False, 3, 4), ("soft-shadow", "dither", False, 1, 2),
 )
+NAMES = [d[0] for d in DIRECTIVES]
 BANDING, GRAIN = ("gradient-opaque", "gradient-alpha", "soft-shadow"), ("texture", "flat")
 
 
@@ -39,12 +52,6 @@ def _neighbours(frame: DataFrame) -> DataFrame:
     return frame.select("*", *[F.lag("f", step).over(w()).alias(s) for s, w, step in SIDES])
 
 
-def _step(a: str, b: str) -> Column:
-    """Greatest channel difference; null beside the border."""
-    parts = [F.abs(F.col(f"{a}.{p}") - F.col(f"{b}.{p}")) for p in P]
-    return F.when(F.col(b).isNotNull(), F.greatest(*parts))
-
-
 def local_gradient(pixels: DataFrame) -> DataFrame:
     """Greatest squared feature distance to a side neighbour."""
     got = _neighbours(_featured(pixels))
@@ -68,67 +75,147 @@ def flat_seeds(pixels: DataFrame) -> DataFrame:
     return got.select("image_id", "pos", same.alias("seed"))
 
 
-def classify(pixels: DataFrame, palette: DataFrame) -> DataFrame:
-    """Class of each pixel.  Flat stretches grow from their seeds through equal colours (rounds of
-    neighbour windows until nothing changes); all else is local."""
-    got = _neighbours(_featured(pixels))
-    exact = palette.select("image_id", E.zone_of().alias("zone"), *E.premultiplied()).distinct().withColumn("in_palette", F.lit(True))
-    got = got.join(exact, ["image_id", "zone", *P], "left")
-    same, boundary = F.lit(True), F.lit(False)
-    for s, _, _ in SIDES:
-        same = same & (F.col(s).isNull() | (F.col(f"{s}.colour") == F.col("f.colour")))
-        boundary = boundary | F.coalesce(F.col(f"{s}.zone") != F.col("f.zone"), F.lit(False))
-    fixed = F.when(F.col("zone") == 0, "transparent").when(F.col("in_palette"), "protected-exact")
-    got = got.withColumn("fixed", fixed).withColumn("flat", F.col("fixed").isNull() & same).withColumn("boundary", boundary)
-    for s, _, _ in SIDES:
-        got = got.withColumn(f"step_{s}", F.coalesce(_step("f", s), F.lit(0)))
-    got = got.withColumn("largest", F.greatest(*[f"step_{s}" for s, _, _ in SIDES]))
-    side = F.lit(None).cast("string")
-    for s, _, _ in reversed(SIDES):
-        side = F.when(F.col(f"step_{s}") == F.col("largest"), s).otherwise(side)
-    got = got.withColumn("side", side)
-    # what goes on past this pixel, and past the neighbour of the largest step
-    past = {s: F.greatest(*[F.col(f"step_{o}") for o, _, _ in SIDES if o != s], F.lit(0)) for s, _, _ in SIDES}
-    facing = {"on_left": "on_right", "on_right": "on_left", "above": "below", "below": "above"}
-    got = got.select("*", *[F.greatest(*[F.col(f"step_{o}") for o, _, _ in SIDES if o != facing[s]]).alias(f"beyond_{s}") for s, _, _ in SIDES])
-    got = got.select("*", *[F.coalesce(F.lag(f"beyond_{s}", step).over(w()), F.lit(0)).alias(f"past_{s}") for s, w, step in SIDES])
-    more = F.lit(0)
-    for s, _, _ in SIDES:
-        more = F.when(F.col("side") == s, F.greatest(past[s], F.col(f"past_{s}"))).otherwise(more)
-    hard = F.col("boundary") | ((F.col("largest") >= EDGE_STEP) & (more * EDGE_RATIO <= F.col("largest")))
-    got = got.withColumn("hard", hard).withColumn("sum3", F.col("p0") + F.col("p1") + F.col("p2"))
-    # sign-incoherent sums in the 2 x 2 window, clamped at the right and lower border
-    got = got.withColumn("sum_r", F.lead("sum3").over(along_row()))
-    got = got.withColumn("sum_d", F.lead("sum3").over(along_column())).withColumn("sum_rd", F.lead("sum_r").over(along_column()))
-    top, bottom = F.col("sum_r") - F.col("sum3"), F.col("sum_rd") - F.col("sum_d")
-    left, right = F.col("sum_d") - F.col("sum3"), F.col("sum_rd") - F.col("sum_r")
-    clash = lambda a, b: (a != 0) & (b != 0) & ((a < 0) != (b < 0))
-    got = got.withColumn("rough", clash(top, bottom) | clash(left, right))
-    got = got.withColumn("rough", F.coalesce("rough", F.lag("rough").over(along_row()))).withColumn("rough", F.coalesce("rough", F.lag("rough").over(along_column()), F.lit(False)))
-    grown = _flood(got.select("image_id", "pos", "y", "x", "fixed", "flat", F.col("f.colour").alias("colour")))
-    got = got.drop("flat").join(grown, ["image_id", "pos"])
-    kind = F.coalesce(
-        F.col("fixed"), F.when(F.col("flat"), "flat").when(F.col("hard"), "hard-edge").when(F.col("rough"), "texture")
-        .when(F.col("zone") == 2, "gradient-opaque").when(F.col("a") < SHADOW, "soft-shadow").otherwise("gradient-alpha"),
-    )
-    return got.select("image_id", "pos", "y", "x", kind.alias("class"))
-
-
-def _flood(frame: DataFrame) -> DataFrame:
-    """Flat spreads along runs of equal colour in rows and columns until it stops."""
-    frame = frame.withColumn("open", F.col("fixed").isNull())
-    for axis, w in (("row", along_row()), ("column", along_column())):
-        changed = F.coalesce((F.lag("colour").over(w) != F.col("colour")) | ~(F.lag("open").over(w) & F.col("open")), F.lit(True)).cast("bigint")
-        frame = frame.withColumn("__c", changed).withColumn(axis, F.sum("__c").over(w)).drop("__c")
-    before = -1
+def _steps(f: np.ndarray) -> np.ndarray:
+    """(4, h, w): greatest channel difference to each side; -1 beyond the border."""
+    out = np.full((4, *f.shape[:2]), -1, np.int64)
+    across, down = np.abs(f[:, 1:] - f[:, :-1]).max(-1), np.abs(f[1:] - f[:-1]).max(-1)
+    out[0, :, 1:], out[1, :, :-1], out[2, 1:], out[3, :-1] = across, across, down, down
+    return out
+
+
+def _moved(v: np.ndarray, side: int, fill) -> np.ndarray:
+    """What each pixel's neighbour on a side has."""
+    out = np.full_like(v, fill)
+    if side == 0:
+        out[:, 1:] = v[:, :-1]
+    elif side == 1:
+        out[:, :-1] = v[:, 1:]
+    elif side == 2:
+        out[1:] = v[:-1]
+    else:
+        out[:-1] = v[1:]
+    return out
+
+
+def _stretches(colour: np.ndarray) -> np.ndarray:
+    """A label for each 4-connected stretch of one colour.
+
+    Runs of rows are joined downward: each takes the least label it touches, labels jump to their
+    own labels, until nothing changes.
+    """
+    h, w = colour.shape
+    new = np.ones((h, w), bool)
+    new[:, 1:] = colour[:, 1:] != colour[:, :-1]
+    run = (np.cumsum(new.ravel()) - 1).reshape(h, w)
+    touch = colour[1:] == colour[:-1]
+    a, b = run[:-1][touch], run[1:][touch]
+    label = np.arange(run[-1, -1] + 1)
     while True:
-        now = frame.where("flat").count()
-        if now == before:
-            return frame.select("image_id", "pos", "flat")
-        before = now
-        for axis, line in (("row", "y"), ("column", "x")):
-            frame = frame.withColumn("flat", F.col("open") & F.max("flat").over(Window.partitionBy("image_id", line, axis)))
-        frame = frame.checkpoint() if frame.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else frame
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, before[a], low)
+        np.minimum.at(label, before[b], low)
+        while True:
+            far = label[label]
+            if np.array_equal(far, label):
+                break
+            label = far
+        if np.array_equal(label, before):
+            return label[run]
+
+
+def parts_of(rgba: np.ndarray, palette: np.ndarray) -> dict[str, np.ndarray]:
+    """The classifier's tests of each pixel: transparent, protected, seed, flat, hard, rough."""
+    c = rgba.astype(np.int64)
+    f = K.feature(c)
+    zones, kinds = K.zone(c[..., 3]), K.zone(palette[:, 3])
+    for z in (1, 2):
+        if (zones == z).any() and not (kinds == z).any():
+            raise DataError("palette has no entry in the source pixel's alpha zone")
+    colour, own = K.pack(c), K.pack(palette)
+    # the features of visible colours differ where the colours do
+    protected = np.isin(colour, own) & (zones != 0)
+    free = (zones != 0) & ~protected
+    steps = _steps(f)
+    seed = np.ones(colour.shape, bool)
+    boundary = np.zeros(colour.shape, bool)
+    for side in range(4):
+        there = steps[side] >= 0
+        seed &= ~there | (_moved(colour, side, -1) == colour)
+        boundary |= there & (_moved(zones, side, -1) != zones)
+    label = _stretches(colour)
+    flat = free & np.isin(label, np.unique(label[seed & free]))
+    largest, toward = steps.max(0), steps.argmax(0)
+    more = np.zeros(colour.shape, np.int64)
+    facing = (1, 0, 3, 2)
+    for side in range(4):
+        here = np.delete(steps, side, 0).max(0)
+        beyond = _moved(np.delete(steps, facing[side], 0).max(0), side, 0)
+        more = np.where(toward == side, np.maximum(np.maximum(here, beyond), 0), more)
+    hard = boundary | ((largest >= EDGE_STEP) & (more * EDGE_RATIO <= largest))
+    rough = np.zeros(colour.shape, bool)
+    if min(colour.shape) > 1:
+        s = f[..., :3].sum(-1)
+        across, down = np.sign(s[:, 1:] - s[:, :-1]), np.sign(s[1:] - s[:-1])
+        at = (across[:-1] * across[1:] < 0) | (down[:, :-1] * down[:, 1:] < 0)
+        rough = np.pad(at, ((0, 1), (0, 1)), mode="edge")
+    return {"transparent": zones == 0, "protected": protected, "seed": seed, "flat": flat, "hard": hard, "rough": rough, "opaque": zones == 2, "shadow": c[..., 3] < SHADOW}
+
+
+def classes_of(rgba: np.ndarray, palette: np.ndarray) -> np.ndarray:
+    """Number (in the order of DIRECTIVES) of each pixel's class."""
+    p = parts_of(rgba, palette)
+    tests = [p["transparent"], p["protected"], p["flat"], p["hard"], p["rough"], p["opaque"], p["shadow"]]
+    return np.select(tests, [NAMES.index(n) for n in ("transparent", "protected-exact", "flat", "hard-edge", "texture", "gradient-opaque", "soft-shadow")], NAMES.index("gradient-alpha"))
+
+
+def gradient_of(rgba: np.ndarray) -> np.ndarray:
+    """Greatest squared feature distance of each pixel to a side neighbour."""
+    f = K.feature(rgba.astype(np.int64))
+    out = np.zeros(rgba.shape[:2], np.int64)
+    for axis in (0, 1):
+        d = np.diff(f, axis=axis)
+        d = (d * d).sum(-1)
+        first, last = ((slice(None), slice(0, -1)), (slice(None), slice(1, None))) if axis else ((slice(0, -1),), (slice(1, None),))
+        out[first] = np.maximum(out[first], d)
+        out[last] = np.maximum(out[last], d)
+    return out
+
+
+def strength_of(classes: np.ndarray) -> tuple[int, int]:
+    """Banding pixels to all that band or are grainy, in lowest terms; 0/1 without any."""
+    n = np.bincount(classes.ravel(), minlength=len(NAMES)).tolist()
+    banding, grain = (sum(n[NAMES.index(k)] for k in names) for names in (BANDING, GRAIN))
+    return ratio(banding, banding + grain)
+
+
+def _mapped(pixels: DataFrame, palette: DataFrame, out: str, of: Callable[[np.ndarray, np.ndarray], list[np.ndarray | pa.Array] | None], nothing: list) -> DataFrame:
+    """Columns of each pixel by one function of its whole image; ``nothing`` where the palette can't serve it."""
+    names = ["image_id", "pos", "y", "x", *(x.split(" ")[0] for x in out.split(", "))]
+
+    def make(name: int, rows: pa.Table, entries: np.ndarray) -> pa.Table:
+        rgba = raster.image_of(rows)
+        h, w = rgba.shape[:2]
+        pos = np.arange(h * w)
+        try:
+            made = of(rgba, entries)
+        except DataError:
+            made = [pa.nulls(h * w, k) for k in nothing]
+        columns = [np.full(h * w, name), pos, pos // w, pos % w, *made]
+        return pa.table([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=names)
+
+    return raster.per_image(pixels, palette, ["y", "x", "r", "g", "b", "a"], "image_id bigint, pos bigint, y bigint, x bigint, " + out, make)
+
+
+def classify(pixels: DataFrame, palette: DataFrame) -> DataFrame:
+    """Class of each pixel, by one function per image; null for images with a visible pixel whose alpha
+    zone has no palette entry."""
+    return _mapped(pixels, palette, "class string", lambda rgba, p: [pa.array(NAMES).take(pa.array(classes_of(rgba, p).ravel()))], [pa.string()])
+
+
+def hard_edges(pixels: DataFrame, palette: DataFrame) -> DataFrame:
+    """Whether each pixel lies at a hard edge, whatever its class; null as in ``classify``."""
+    return _mapped(pixels, palette, "hard boolean", lambda rgba, p: [parts_of(rgba, p)["hard"].ravel()], [pa.bool_()])
 
 
 def directives(spark) -> DataFrame:
@@ -145,7 +232,10 @@ def class_counts(classes: DataFrame) -> DataFrame:
 
 
 def unit_strength(classes: DataFrame) -> DataFrame:
-    """Banding pixels and all pixels that band or are grainy; 0/1 without any (the ratio isn't reduced here)."""
+    """Banding pixels to all that band or are grainy, in lowest terms; 0/1 without any."""
     got = classes.groupBy("image_id").agg(*[F.sum(F.col("class").isin(*names).cast("bigint")).alias(k) for k, names in (("banding", BANDING), ("grain", GRAIN))])
-    total = F.col("banding") + F.col("grain")
-    return got.select("image_id", F.col("banding").alias("num"), F.when(total == 0, 1).otherwise(total).cast("bigint").alias("den"))
+    total, n = F.col("banding") + F.col("grain"), F.col("banding")
+    # Euclid's steps: a count of pixels is below 2**37, so 55 halvings of the smaller part are enough
+    pair = F.aggregate(F.sequence(F.lit(1), F.lit(55)), F.struct(n.alias("a"), total.alias("b")), lambda p, _: F.struct(F.when(p["b"] == 0, p["a"]).otherwise(p["b"]).alias("a"), F.when(p["b"] == 0, p["b"]).otherwise(F.try_mod(p["a"], p["b"])).alias("b")))
+    got = got.select("image_id", n.alias("n"), total.alias("total"), pair["a"].alias("g"))
+    return got.select("image_id", F.when(F.col("n") == 0, 0).otherwise(E.div("n", F.greatest("g", F.lit(1)))).cast("bigint").alias("num"), F.when(F.col("n") == 0, 1).otherwise(E.div("total", F.greatest("g", F.lit(1)))).cast("bigint").alias("den"))

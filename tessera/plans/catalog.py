@@ -1,19 +1,30 @@
 """Registered queries: pixel operators over relations derived from the tables, and their SQL.
 
-One image per hundred vectors: 16 pixels a row, a row per vector.
+Two relations of pixels: one image per hundred vectors (16 pixels a row, a row per vector), and
+scenes, which add drawn images with few colours, flat stretches, ramps, shadows and transparency.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import expr as E
-from tessera.operators import assign, dither, oklab, orders, pack, palette, regions, search
+from tessera.operators import assign, dither, orders, pack, palette, raster, regions, search
 from tessera.operators import histogram as H
-from tessera.plans.quantize import Options, quantize
+from tessera.plans.oracles import DRAWN, ORACLES, SCENES
+from tessera.plans.quantize import Options, ceiling, quantize
+from tessera.sources import png
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
-LIMIT, CAP, PER_ZONE = 1000, 256, 8
+LIMIT, CAP, PER_ZONE, QUALITY, WIDTH = 1000, 256, 8, 60.0, 32
+Source = Callable[[SparkSession, str], DataFrame]
 
 
 def pixels(spark: SparkSession, d: str) -> DataFrame:
@@ -24,43 +35,52 @@ def pixels(spark: SparkSession, d: str) -> DataFrame:
     return wide.select("image_id", (F.col("y") * 16 + F.col("x")).alias("pos"), "y", "x", level(0).alias("r"), level(1).alias("g"), level(2).alias("b"), a.alias("a"))
 
 
-def bins(spark, d, limit=H.EXACT_LIMIT):
-    return H.finalise(H.histogram(pixels(spark, d), limit))
+def drawn(spark: SparkSession, d: str) -> DataFrame:
+    """One image per 48 parts, a row per part."""
+    rows = spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey div 48 as m", "p_partkey % 48 as y")
+    wide = rows.withColumn("x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(15).cast("bigint"))))
+    by_kind = lambda i: "cast(case m % 8 " + " ".join(f"when {k} then {kind[i].replace('//', 'div')}" for k, kind in enumerate(DRAWN)) + " end as bigint)"
+    return wide.selectExpr("m + 1000000 as image_id", "y * 16 + x as pos", "y", "x", *[f"{by_kind(i)} as {c}" for i, c in enumerate("rgba")])
+
+
+def scenes(spark: SparkSession, d: str) -> DataFrame:
+    return pixels(spark, d).unionByName(drawn(spark, d))
+
+
+def coarse(px: DataFrame) -> DataFrame:
+    return H.finalise(H.coarse_bins(px))
 
 
-def coarse(spark, d):
-    return H.finalise(H.coarsen(H.exact_bins(pixels(spark, d))))
+def pal(px: DataFrame) -> DataFrame:
+    return assign.seed_palette(coarse(px), PER_ZONE)
 
 
-def pal(spark, d):
-    return assign.seed_palette(coarse(spark, d), PER_ZONE)
+def assigned(px: DataFrame) -> DataFrame:
+    return assign.remap(px, pal(px))
 
 
-def assigned(spark, d):
-    return assign.remap(pixels(spark, d), pal(spark, d))
+def indexed(px: DataFrame) -> DataFrame:
+    p = pal(px)
+    return pack.indexed(assign.remap(px, p), p)
 
 
-def text_bytes(spark, d):
-    """Bytes of the first pages as rows of 32, for the filters."""
-    hexed = F.hex(F.col("url").cast("binary"))
-    rows = spark.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("image_id"), hexed.alias("h"))
-    at = F.explode(F.sequence(F.lit(0), (F.length("h") / 2 - 1).cast("int"))).alias("i")
-    flat = rows.select("image_id", "h", at)
-    return flat.select("image_id", E.div(F.col("i").cast("bigint"), F.lit(16)).alias("y"), (F.col("i") % 16).cast("bigint").alias("x"), F.expr("cast(conv(substring(h, 2 * i + 1, 2), 16, 10) as bigint)").alias("v"))
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    """Whole pages as bytes, for the filters."""
+    return spark.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("image_id"), F.col("html").cast("binary").alias("body"))
 
 
-def variant_table(spark, d):
+def variant_table(spark: SparkSession, d: str) -> DataFrame:
     o = spark.read.parquet(f"{d}/orders.parquet")
     return o.select((F.col("o_custkey") % 200).alias("image_id"), F.col("o_orderkey").alias("gen"), F.col("o_orderpriority").alias("palette"), F.floor(F.col("o_totalprice") / 100).cast("bigint").alias("len"))
 
 
-def noise_mask(spark):
+def noise_mask(spark: SparkSession) -> DataFrame:
     rows = spark.range(3 * 64).select(E.div("id", F.lit(64)).alias("channel"), E.div(F.col("id") % 64, F.lit(8)).alias("my"), (F.col("id") % 8).alias("mx"))
     rank = (F.col("my") * 37 + F.col("mx") * 11 + F.col("channel") * 23 + F.col("my") * F.col("mx")) % 64
     return rows.select("channel", "my", "mx", ((rank.cast("double") + 0.5) / 64.0 - 0.5).alias("noise"))
 
 
-def headers(spark, d):
+def headers(spark: SparkSession, d: str) -> DataFrame:
     """Image headers derived from parts."""
     p = spark.read.parquet(f"{d}/part.parquet")
     k = F.col("p_partkey")
@@ -78,9 +98,6 @@ def valid_headers(spark, d):
     return headers(spark, d).withColumn("verdict", reason)
 
 
-PASS_TABLE = "(0,0,0,8,8),(1,4,0,8,8),(2,0,4,4,8),(3,2,0,4,4),(4,0,2,2,4),(5,1,0,2,2),(6,0,1,1,2)"
-
-
 def geometry(spark, d):
     passes = spark.createDataFrame([(0, 0, 0, 8, 8), (1, 4, 0, 8, 8), (2, 0, 4, 4, 8), (3, 2, 0, 4, 4), (4, 0, 2, 2, 4), (5, 1, 0, 2, 2), (6, 0, 1, 1, 2)], "pass bigint, x0 bigint, y0 bigint, dx bigint, dy bigint")
     h = valid_headers(spark, d).where("verdict = 'ok'")
@@ -97,266 +114,225 @@ def limits(spark, d):
     return g.select("image_id", "scan", why.alias("verdict"))
 
 
-def framed(spark, d):
-    body = F.col("url").cast("binary")
-    kind = F.lit("tEXt").cast("binary")
+def framed(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as chunks: length, kind, body and checksum."""
     four = lambda n: F.unhex(F.lpad(F.hex(n), 8, "0"))
-    whole = F.concat(four(F.octet_length("url").cast("bigint")), kind, body)
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.sha2(whole, 256).alias("sha"), F.length(whole).cast("bigint").alias("n"))
+    body, kind = F.coalesce(F.col("html"), F.lit("")).cast("binary"), F.lit("tEXt").cast("binary")
+    crc = F.crc32(F.concat(kind, body))
+    whole = F.concat(four(F.octet_length(body).cast("bigint")), kind, body, four(crc))
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", crc.alias("crc"), F.sha2(whole, 256).alias("sha"), F.length(whole).cast("bigint").alias("n"))
 
 
-def report(spark, d):
-    v = orders.smallest(variant_table(spark, d)).select("image_id", F.lit(50000).cast("bigint").alias("bytes_in"), F.col("len").alias("bytes_out"))
-    kept = orders.never_worse(v.select("image_id", "bytes_in", "bytes_out"))
-    return kept.select("image_id", F.to_json(F.struct(F.lit("tessera.report/1").alias("schema"), F.col("bytes").alias("bytes"), F.col("fallback").alias("never_worse_fallback"))).alias("report"))
+def report(spark: SparkSession, d: str) -> DataFrame:
+    """The seven fields for each image's shortest variant, against half its mean length."""
+    v = variant_table(spark, d)
+    size = v.groupBy("image_id").agg(E.div(F.sum("len"), 2 * F.count(F.lit(1))).alias("bytes_in"), F.count_distinct("palette").alias("palette_size"))
+    best = orders.smallest(v).join(size, "image_id").select("image_id", "bytes_in", F.col("len").alias("bytes_out"), "palette_size")
+    kept = orders.never_worse(best).join(best.select("image_id", "bytes_in", "palette_size"), "image_id")
+    candidate = F.when(F.col("fallback"), "input-verbatim").otherwise("encoded")
+    held = F.struct(F.lit("tessera.report/1").alias("schema_version"), "bytes_in", F.col("bytes").alias("bytes_out"), "palette_size", candidate.alias("candidate"), F.lit("guarded").alias("guard"), F.col("fallback").alias("never_worse_fallback"))
+    return kept.select("image_id", F.to_json(held).alias("report"))
 
 
-def fewest(spark, d):
-    """Fewest entries per zone whose error stays under a ceiling, else the most, marked as fallback."""
-    px, b = pixels(spark, d), coarse(spark, d)
-    tried = None
-    for k in (1, 2, 4, 8):
-        p = assign.seed_palette(b, k)
-        e = assign.squared_error(px, assign.paint(assign.remap(px, p), p)).select("image_id", F.lit(k).cast("bigint").alias("k"), E.div(F.col("total").cast("bigint"), F.col("n")).alias("mse"))
-        tried = e if tried is None else tried.unionByName(e)
-    ceiling = 40_000_000
-    return tried.groupBy("image_id").agg(F.coalesce(F.min(F.when(F.col("mse") <= ceiling, F.col("k"))), F.max("k")).alias("k"), (F.min("mse") > ceiling).alias("fallback"))
+def fewest(px: DataFrame) -> DataFrame:
+    """Fewest entries per zone whose mean squared error stays under a quality's ceiling, every number
+    from 1 to 8 tried in one pass; else the most, marked as fallback."""
+    p = pal(px).withColumn("zone", E.zone_of())
+    ranked = p.select("image_id", (F.row_number().over(Window.partitionBy("image_id", "zone").orderBy("idx")) - 1).alias("rank"), *E.CHANNELS)
+    mse = F.col("total").cast("double") / (F.col("n") * 4 * 255**4).cast("double")
+    tried = assign.error_by_size(px, ranked, PER_ZONE).withColumn("passes", mse <= ceiling(QUALITY))
+    return tried.groupBy("image_id").agg(F.coalesce(F.min(F.when(F.col("passes"), F.col("k"))), F.max("k")).alias("k"), (~F.bool_or("passes")).alias("fallback"))
 
 
-def fitted(spark, d):
-    return palette.fit_palettes(H.histogram(pixels(spark, d)), 32)
+def ladder(bins: DataFrame) -> DataFrame:
+    """Ends that occur, and the quantile seeds between them."""
+    mass = H.alpha_mass(bins)
+    return mass.where("alpha in (0, 255)").select("image_id", "alpha").unionByName(H.quantile_seeds(mass)).select("image_id", F.col("alpha").alias("level"))
 
 
-def diffused(spark, d):
-    return dither.floyd_steinberg(pixels(spark, d), pal(spark, d), regions.direct(regions.classify(pixels(spark, d), pal(spark, d))))
+def slots(px: DataFrame) -> DataFrame:
+    reps = pal(px).where("a > 0").select("image_id", F.col("idx").alias("rep"), F.col("r").alias("rr"), F.col("g").alias("rg"), F.col("b").alias("rb"))
+    b = coarse(px)
+    return assign.slots(H.bin_means(b).drop("p0", "p1", "p2", "p3"), reps, ladder(b))
 
 
-def strengths(spark, d):
-    base = assign.nearest(assign.colours(pixels(spark, d)), pal(spark, d), list(E.CHANNELS))
-    return regions.adaptive_strength(pixels(spark, d), pixels(spark, d).join(base, ["image_id", *E.CHANNELS]).select("image_id", "pos", "d2"))
+def fitted(px: DataFrame) -> DataFrame:
+    return palette.fit_palettes(H.histogram(px), 32)
 
 
-def packed_images(spark, d):
-    return orders.smallest(pack.pack_images(assigned(spark, d), pal(spark, d), pack.ORDERS + pack.MORE_ORDERS, ("none", "up", "residual")))
+def diffused(px: DataFrame) -> DataFrame:
+    p = pal(px)
+    return dither.floyd_steinberg(px, p, regions.direct(regions.classify(px, p)))
 
 
-def oklab_fitted(spark, d):
-    return oklab.fit_palettes(oklab.bins(pixels(spark, d), LIMIT), 32)
+def strengths(px: DataFrame) -> DataFrame:
+    base = assign.served(assign.featured(px), pal(px)).select("image_id", "pos", "d2")
+    return regions.adaptive_strength(px, base)
 
 
-def oklab_assigned(spark, d):
-    return oklab.remap(pixels(spark, d), oklab.bins(pixels(spark, d), LIMIT), oklab_fitted(spark, d))
+def candidates(px: DataFrame) -> DataFrame:
+    return orders.smallest(pack.pack_images(indexed(px), pack.ORDERS + pack.MORE_ORDERS, pack.FILTERS))
 
 
-def files(spark, d):
+def files(px: DataFrame) -> DataFrame:
     """The images as baseline files."""
-    made = pack.per_image(assigned(spark, d), pal(spark, d), lambda idx, colours: [(0, "", "", pack.write_indexed(idx, colours))])
+    made = pack.encoded(indexed(px), lambda idx, colours, _: [(0, "", "", pack.write_indexed(idx, colours))])
     return made.select("image_id", F.col("bytes").alias("content"))
 
 
+def _rows(images: DataFrame, schema: str, of: Callable[[int, np.ndarray, np.ndarray], list[tuple]]) -> DataFrame:
+    """Rows that a function makes of each indexed image."""
+    names = [f.split(" ")[0] for f in schema.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                idx = np.frombuffer(r["indices"], np.uint8).reshape(r["height"], r["width"]).astype(np.int64)
+                made = of(r["image_id"], idx, np.frombuffer(r["palette"], np.uint8).reshape(-1, 4).astype(np.int64))
+                yield pa.RecordBatch.from_pylist([dict(zip(names, m)) for m in made], schema=kinds)
+
+    simple = {"bigint": pa.int64(), "string": pa.string(), "array<bigint>": pa.list_(pa.int64())}
+    kinds = pa.schema([(n, simple[f.split(" ")[1]]) for n, f in zip(names, schema.split(", "))])
+    return images.mapInArrow(run, schema)
+
+
+def round_trip(px: DataFrame) -> DataFrame:
+    """Pixels and digest of each image after it was written, filtered, and read again."""
+
+    def of(name: int, idx: np.ndarray, colours: np.ndarray) -> list[tuple]:
+        back = png.decode(pack.encode(idx, colours, "residual")).rgba
+        return [(name, back.size // 4, hashlib.sha256(back.tobytes()).hexdigest())]
+
+    return _rows(indexed(px), "image_id bigint, n bigint, sha string", of)
+
+
+def trial(px: DataFrame) -> DataFrame:
+    """Row filters that trial compression chooses."""
+    return _rows(indexed(px), "image_id bigint, filters array<bigint>", lambda name, idx, p: [(name, pack.trial(pack.all_filters(pack.packed_rows(idx, pack.depth_for(len(p))))))])
+
+
+def greedy(px: DataFrame) -> DataFrame:
+    """Orders by chains: old index at each new place."""
+    chains = ("color-locality", "spatial-adjacency", "alpha-color-locality", "alpha-spatial-adjacency", "packed-frequency")
+    return _rows(indexed(px), "image_id bigint, strategy string, old array<bigint>", lambda name, idx, p: [(name, o, pack.order(o, p, idx)) for o in chains])
+
+
+def oklab_fitted(px: DataFrame) -> DataFrame:
+    """Palettes in the Oklab space, an image at a time."""
+    return _oklab(px, "image_id bigint, idx bigint, r bigint, g bigint, b bigint, a bigint", lambda name, p, idx: [np.full(len(p), name), np.arange(len(p)), *p.T])
+
+
+def oklab_assigned(px: DataFrame) -> DataFrame:
+    return _oklab(px, "image_id bigint, pos bigint, idx bigint", lambda name, p, idx: [np.full(idx.size, name), np.arange(idx.size), idx.ravel()])
+
+
+def _oklab(px: DataFrame, schema: str, columns) -> DataFrame:
+    names = [f.split(" ")[0] for f in schema.split(", ")]
+
+    def work(rows: pa.Table) -> pa.Table:
+        p, idx, _ = raster.candidate(raster.image_of(rows), 32, "oklab", limit=LIMIT)
+        return pa.table([pa.array(c, pa.int64()) for c in columns(rows["image_id"][0].as_py(), p, idx)], names=names)
+
+    return px.select("image_id", "y", "x", *E.CHANNELS).groupBy("image_id").applyInArrow(work, schema)
+
+
+def counted(px: DataFrame) -> DataFrame:
+    return assign.colour_frequency(H.exact_bins(px), pal(px))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Pixels to bins, a palette from the heaviest bins, nearest entries, and their frequencies."""
-    return assign.frequency(assigned(spark, d), pal(spark, d))
+    return counted(pixels(spark, d))
+
 
+def served_by_soft(px: DataFrame) -> DataFrame:
+    """Colours to the nearest entry that isn't opaque, in another zone if need be; -1 where there is none."""
+    found = assign.nearest_with_fallback(assign.colours(px), pal(px).where("a <> 255"), list(E.CHANNELS))
+    return found.withColumns({c: F.coalesce(c, F.lit(-1).cast("bigint")) for c in ("idx", "d2")})
 
-def _pre(px):
+
+def _pre(px: DataFrame) -> DataFrame:
     return px.select("image_id", "pos", *E.premultiplied(), E.packed().alias("packed"))
 
 
-QUERIES = {
-    "pixel_relation": pixels,
-    "zone_counts": lambda s, d: H.zone_counts(pixels(s, d)),
-    "guard_predicate": lambda s, d: H.guard(pixels(s, d)),
-    "premult_features": lambda s, d: _pre(pixels(s, d)),
-    "exact_histogram": lambda s, d: H.finalise(H.exact_bins(pixels(s, d))),
+#: Queries on a relation of pixels.
+ON_PIXELS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "pixel_relation": lambda px: px,
+    "zone_counts": H.zone_counts,
+    "guard_predicate": H.guard,
+    "premult_features": _pre,
+    "exact_histogram": lambda px: H.finalise(H.exact_bins(px)),
     "preclip_histogram": coarse,
-    "mode_switch": lambda s, d: bins(s, d, LIMIT),
-    "bin_means": lambda s, d: H.bin_means(coarse(s, d)).select("image_id", "bin_ord", *E.CHANNELS, "p0", "p1", "p2", "p3"),
-    "zone_centroids": lambda s, d: H.centroids(coarse(s, d), ["image_id", "zone"]),
-    "alpha_mass": lambda s, d: H.alpha_mass(coarse(s, d)),
-    "alpha_quantile_seeds": lambda s, d: H.quantile_seeds(H.alpha_mass(coarse(s, d))),
-    "stride_sample": lambda s, d: H.stride_sample(coarse(s, d), 100).select("image_id", "bin_ord", "n"),
-    "distinct_zones": lambda s, d: pixels(s, d).select("image_id", E.zone_of().alias("zone")).distinct(),
+    "mode_switch": lambda px: H.finalise(H.histogram(px, LIMIT)),
+    "bin_means": lambda px: H.bin_means(coarse(px)).select("image_id", "bin_ord", *E.CHANNELS, "p0", "p1", "p2", "p3"),
+    "zone_centroids": lambda px: H.centroids(coarse(px), ["image_id", "zone"]),
+    "alpha_mass": lambda px: H.alpha_mass(coarse(px)),
+    "alpha_quantile_seeds": lambda px: H.quantile_seeds(H.alpha_mass(coarse(px))),
+    "stride_sample": lambda px: H.stride_sample(coarse(px), 100).select("image_id", "bin_ord", "n"),
+    "distinct_zones": lambda px: px.select("image_id", E.zone_of().alias("zone")).distinct(),
     "seed_palette": pal,
-    "nearest_entry_zone": lambda s, d: assign.nearest(assign.colours(pixels(s, d)), pal(s, d), list(E.CHANNELS)),
-    "nearest_with_fallback": lambda s, d: assign.nearest_with_fallback(assign.colours(pixels(s, d)), pal(s, d).where("a <> 255"), list(E.CHANNELS)),
+    "nearest_entry_zone": lambda px: assign.nearest(assign.colours(px), pal(px), list(E.CHANNELS)),
+    "nearest_with_fallback": served_by_soft,
     "remap_join": assigned,
-    "palette_frequency": flagship,
-    "palette_cleanup": lambda s, d: assign.cleanup(assigned(s, d).where("idx % 3 <> 0"), pal(s, d)),
-    "refine_one_step": lambda s, d: assign.refine_step(H.bin_means(coarse(s, d)).drop(*E.CHANNELS), pal(s, d)),
-    "worst_served": lambda s, d: assign.worst_served(H.bin_means(coarse(s, d)), pal(s, d)),
-    "local_gradient": lambda s, d: regions.local_gradient(pixels(s, d)),
+    "remap_bins": lambda px: assign.remap_bins(px, H.histogram(px, LIMIT), pal(px)),
+    "palette_frequency": counted,
+    "palette_cleanup": lambda px: assign.cleanup(assigned(px), pal(px)),
+    "refine_one_step": lambda px: assign.refine_step(H.bin_means(coarse(px)).drop(*E.CHANNELS), pal(px)),
+    "worst_served": lambda px: assign.worst_served(H.bin_means(coarse(px)), pal(px)),
+    "slot_cooccurrence": slots,
+    "rank_slots": lambda px: assign.rank_slots(slots(px)),
+    "local_gradient": regions.local_gradient,
     "adaptive_strength": strengths,
-    "flat_seeds": lambda s, d: regions.flat_seeds(pixels(s, d)),
-    "region_classes": lambda s, d: regions.classify(pixels(s, d), pal(s, d)).select("image_id", "pos", "class"),
-    "region_directives": lambda s, d: regions.direct(regions.classify(pixels(s, d), pal(s, d))),
-    "class_counts": lambda s, d: regions.class_counts(regions.classify(pixels(s, d), pal(s, d))),
-    "unit_strength": lambda s, d: regions.unit_strength(regions.classify(pixels(s, d), pal(s, d))),
-    "bluenoise_remap": lambda s, d: dither.ordered_remap(pixels(s, d), pal(s, d), noise_mask(s), 24),
-    "row_filters": lambda s, d: orders.filtered(text_bytes(s, d)),
-    "filter_residual": lambda s, d: orders.scores(text_bytes(s, d)),
-    "best_filter": lambda s, d: orders.best_filters(text_bytes(s, d)),
-    "bit_packing": lambda s, d: orders.packed_rows(assigned(s, d).withColumn("idx", F.col("idx") % 16), 4),
-    "order_frequency": lambda s, d: orders.by_frequency(pal(s, d), flagship(s, d)),
-    "order_luminance": lambda s, d: orders.by_luminance(pal(s, d)),
-    "order_channel": lambda s, d: orders.by_channels(pal(s, d)),
-    "order_alpha_first": lambda s, d: orders.alpha_first(pal(s, d)),
-    "order_alpha_frequency": lambda s, d: orders.alpha_frequency(pal(s, d), flagship(s, d)),
-    "order_transparent_front": lambda s, d: orders.transparent_front(pal(s, d).where("idx % 9 in (0, 8)")),
-    "spatial_adjacency": lambda s, d: orders.adjacency(assigned(s, d)),
-    "byte_cooccurrence": lambda s, d: orders.byte_neighbours(assigned(s, d), 4),
+    "flat_seeds": regions.flat_seeds,
+    "hard_edge": lambda px: regions.hard_edges(px, pal(px)).select("image_id", "pos", "hard"),
+    "region_classes": lambda px: regions.classify(px, pal(px)).select("image_id", "pos", "class"),
+    "region_directives": lambda px: regions.direct(regions.classify(px, pal(px))),
+    "class_counts": lambda px: regions.class_counts(regions.classify(px, pal(px))),
+    "unit_strength": lambda px: regions.unit_strength(regions.classify(px, pal(px))),
+    "bit_packing": lambda px: orders.packed_rows(assigned(px).withColumn("idx", F.col("idx") % 16), 4),
+    "order_frequency": lambda px: orders.by_frequency(pal(px), counted(px)),
+    "order_luminance": lambda px: orders.by_luminance(pal(px)),
+    "order_channel": lambda px: orders.by_channels(pal(px)),
+    "order_alpha_first": lambda px: orders.alpha_first(pal(px)),
+    "order_alpha_frequency": lambda px: orders.alpha_frequency(pal(px), counted(px)),
+    "order_transparent_front": lambda px: orders.transparent_front(pal(px)),
+    "spatial_adjacency": lambda px: orders.adjacency(assigned(px)),
+    "byte_cooccurrence": lambda px: orders.byte_neighbours(assigned(px), 4),
+    "mse": lambda px: assign.squared_error(px, assign.paint(assigned(px), pal(px))).select("image_id", F.col("total").cast("bigint").alias("total"), "n"),
+    "fewest_colors": fewest,
+    "identity_check": lambda px: assign.differences(px, assign.paint(assigned(px), pal(px))),
+    "png_roundtrip": round_trip,
+    "trial_deflate": trial,
+    "greedy_orders": greedy,
+    "fs_dither": diffused,
+    "palette_fit": fitted,
+    "pack_search": candidates,
+    "pack_search_wide": lambda px: orders.smallest(search.search_images(indexed(px))),
+    "seam_search": lambda px: search.seam_images(indexed(px), memory=True),
+    "quantize_files": lambda px: quantize(files(px), Options(colours=32, adaptive="off")).drop("content"),
+    "quantize_files_dithered": lambda px: quantize(files(px), Options(colours=32)).drop("content"),
+    "oklab_palette": oklab_fitted,
+    "oklab_remap": oklab_assigned,
+}
+
+
+def _on(source: Source, f: Callable[[DataFrame], DataFrame]) -> Source:
+    return lambda spark, d: f(source(spark, d))
+
+
+QUERIES: dict[str, Source] = {
+    **{name: _on(pixels, f) for name, f in ON_PIXELS.items()},
+    **{f"scene_{name}": _on(scenes, ON_PIXELS[name]) for name in SCENES},
+    "bluenoise_remap": lambda s, d: dither.ordered_remap(pixels(s, d), pal(pixels(s, d)), noise_mask(s), 24),
+    "row_filters": lambda s, d: orders.filtered(pages(s, d), "body", WIDTH).withColumn("f", F.hex("f")),
+    "filter_residual": lambda s, d: orders.scores(pages(s, d), "body", WIDTH),
+    "best_filter": lambda s, d: orders.best_filters(pages(s, d), "body", WIDTH),
     "best_variant": lambda s, d: orders.smallest(variant_table(s, d)),
     "finalists": lambda s, d: orders.finalists(variant_table(s, d)),
     "never_worse": lambda s, d: orders.never_worse(orders.smallest(variant_table(s, d)).select("image_id", F.lit(30).cast("bigint").alias("bytes_in"), F.col("len").alias("bytes_out"))),
-    "mse": lambda s, d: assign.squared_error(pixels(s, d), assign.paint(assigned(s, d), pal(s, d))).select("image_id", F.col("total").cast("bigint").alias("total"), "n"),
-    "fewest_colors": fewest,
-    "identity_check": lambda s, d: assign.differences(pixels(s, d), assign.paint(assigned(s, d), pal(s, d))),
     "header_validation": valid_headers,
     "adam7_geometry": lambda s, d: geometry(s, d).select("image_id", "pass", "columns", "rows", "row_bytes"),
     "resource_limits": limits,
     "chunk_framing": framed,
     "json_report": report,
-    "fs_dither": diffused,
-    "palette_fit": fitted,
-    "pack_search": packed_images,
-    "pack_search_wide": lambda s, d: orders.smallest(search.search_images(assigned(s, d), pal(s, d))),
-    "seam_search": lambda s, d: search.seam_images(assigned(s, d), pal(s, d), memory=True),
-    "remap_bins": lambda s, d: assign.remap_bins(pixels(s, d), H.histogram(pixels(s, d), LIMIT), fitted(s, d)),
-    "quantize_files": lambda s, d: quantize(files(s, d), Options(colours=32)).drop("content"),
-    "quantize_files_dithered": lambda s, d: quantize(files(s, d), Options(colours=32, dither="guarded")).drop("content"),
-    "oklab_palette": oklab_fitted,
-    "oklab_remap": oklab_assigned,
-}
-
-_PX = """px AS (SELECT vec_id // 100 AS image_id, (vec_id % 100) * 16 + x AS pos, vec_id % 100 AS y, x,
-  CAST(floor((CAST(embedding[4 * x + 1] AS DOUBLE) + 1.0) * 128) AS BIGINT) AS r, CAST(floor((CAST(embedding[4 * x + 2] AS DOUBLE) + 1.0) * 128) AS BIGINT) AS g,
-  CAST(floor((CAST(embedding[4 * x + 3] AS DOUBLE) + 1.0) * 128) AS BIGINT) AS b,
-  CAST(CASE WHEN label < 2 THEN 0 WHEN label < 5 THEN 255 ELSE floor((CAST(embedding[4 * x + 4] AS DOUBLE) + 1.0) * 128) END AS BIGINT) AS a
-  FROM embeddings, (SELECT CAST(range AS BIGINT) AS x FROM range(16)) t)"""
-_ZONE = "CAST(CASE WHEN {0} = 0 THEN 0 WHEN {0} = 255 THEN 2 ELSE 1 END AS BIGINT)"
-_SUMS = "CAST(sum(n) AS BIGINT) AS n, " + ", ".join(f"CAST(sum({s}) AS BIGINT) AS {s}" for s in H.SUMS[1:])
-_EX = f""", ex AS (SELECT image_id, r AS k0, g AS k1, b AS k2, a AS k3, count(*) AS n, CAST(sum(r) AS BIGINT) AS sr, CAST(sum(g) AS BIGINT) AS sg, CAST(sum(b) AS BIGINT) AS sb,
-  CAST(sum(a) AS BIGINT) AS sa, CAST(sum(a * r) AS BIGINT) AS sar, CAST(sum(a * g) AS BIGINT) AS sag, CAST(sum(a * b) AS BIGINT) AS sab FROM px GROUP BY ALL)"""
-_GRID = "k0 * 16 // 256 AS k0, k1 * 16 // 256 AS k1, k2 * 16 // 256 AS k2, CASE WHEN k3 = 0 THEN 0 WHEN k3 = 255 THEN 15 ELSE 1 + (k3 - 1) * 14 // 254 END AS k3"
-_HALF = "((2 * {0} + {1}) // (2 * {1}))"
-_BINS = _EX + f""", co AS (SELECT image_id, k0, k1, k2, k3, {_SUMS} FROM (SELECT image_id, {_GRID}, n, sr, sg, sb, sa, sar, sag, sab FROM ex) GROUP BY image_id, k0, k1, k2, k3),
-  bins AS (SELECT *, {_ZONE.format(_HALF.format("sa", "n"))} AS zone, row_number() OVER (PARTITION BY image_id ORDER BY k0, k1, k2, k3) - 1 AS bin_ord FROM co),
-  means AS (SELECT *, {", ".join(_HALF.format("s" + c, "n") + " AS " + c for c in "rgba")}, {", ".join(_HALF.format("sa" + c, "n") + f" AS p{i}" for i, c in enumerate("rgb"))}, {_HALF.format("255 * sa", "n")} AS p3 FROM bins)"""
-_PACK = "(r * 16777216 + g * 65536 + b * 256 + a)"
-_PAL = _BINS + f""", palk AS (SELECT *, row_number() OVER (PARTITION BY image_id, zone ORDER BY n DESC, {_PACK}) AS rank FROM (
-  SELECT image_id, zone, CASE WHEN zone = 0 THEN 0 ELSE r END AS r, CASE WHEN zone = 0 THEN 0 ELSE g END AS g, CASE WHEN zone = 0 THEN 0 ELSE b END AS b, CASE WHEN zone = 0 THEN 0 ELSE a END AS a, sum(n) AS n FROM means GROUP BY ALL)),
-  pal AS (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY zone, rank) - 1 AS idx, r, g, b, a FROM palk WHERE rank <= {PER_ZONE})"""
-_NEAR = """, pe AS (SELECT image_id, idx, {z} AS zone, r * a AS q0, g * a AS q1, b * a AS q2, 255 * a AS q3 FROM {pal}),
-  pt AS (SELECT DISTINCT image_id, r, g, b, a, {z} AS zone, r * a AS p0, g * a AS p1, b * a AS p2, 255 * a AS p3 FROM px),
-  near AS (SELECT image_id, r, g, b, a, arg_min(idx, (d2, idx)) AS idx, min(d2) AS d2 FROM (SELECT pt.*, idx, (p0-q0)*(p0-q0)+(p1-q1)*(p1-q1)+(p2-q2)*(p2-q2)+(p3-q3)*(p3-q3) AS d2 FROM pt JOIN pe USING (image_id, zone)) GROUP BY ALL)"""
-_Z = _ZONE.format("a")
-_N = _NEAR.format(z=_Z, pal="pal")
-_ASG = _N + """, asg AS (SELECT px.image_id, pos, y, x, idx FROM px JOIN near USING (image_id, r, g, b, a)), freq AS (SELECT pal.image_id, pal.idx, count(asg.pos) AS n FROM pal LEFT JOIN asg ON asg.image_id = pal.image_id AND asg.idx = pal.idx GROUP BY ALL)"""
-_W = "WITH " + _PX
-_ROW, _COL = "OVER (PARTITION BY image_id, y ORDER BY x)", "OVER (PARTITION BY image_id, x ORDER BY y)"
-_TB = """WITH tb AS (SELECT page_id AS image_id, CAST(i // 16 AS BIGINT) AS y, CAST(i % 16 AS BIGINT) AS x, CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT) AS v FROM (SELECT page_id, hex(encode(url)) AS h, unnest(range(0, octet_length(encode(url)))) AS i FROM pages)),
-  nb AS (SELECT *, coalesce(lag(v) OVER (PARTITION BY image_id, y ORDER BY x), 0) AS l, coalesce(lag(v) OVER (PARTITION BY image_id, x ORDER BY y), 0) AS u FROM tb),
-  nc AS (SELECT *, coalesce(lag(u) OVER (PARTITION BY image_id, y ORDER BY x), 0) AS c FROM nb),
-  fl AS (SELECT image_id, y, x, CAST(0 AS BIGINT) AS filter, v & 255 AS f FROM nc UNION ALL SELECT image_id, y, x, 1, (v - l) & 255 FROM nc UNION ALL SELECT image_id, y, x, 2, (v - u) & 255 FROM nc
-  UNION ALL SELECT image_id, y, x, 3, (v - (l + u) // 2) & 255 FROM nc UNION ALL SELECT image_id, y, x, 4, (v - CASE WHEN abs(u - c) <= abs(l - c) AND abs(u - c) <= abs(l + u - 2 * c) THEN l WHEN abs(l - c) <= abs(l + u - 2 * c) THEN u ELSE c END) & 255 FROM nc),
-  sc AS (SELECT image_id, y, filter, CAST(sum(CASE WHEN f < 128 THEN f ELSE 256 - f END) AS BIGINT) AS score FROM fl GROUP BY ALL)"""
-_VT = "WITH vt AS (SELECT o_custkey % 200 AS image_id, o_orderkey AS gen, o_orderpriority AS palette, CAST(floor(o_totalprice / 100) AS BIGINT) AS len FROM orders), sm AS (SELECT image_id, arg_min(gen, (len, gen)) AS gen, min(len) AS len FROM vt GROUP BY image_id)"
-_HD = """WITH hd AS (SELECT p_partkey AS image_id, p_partkey * 37 % 40000 AS width, CAST(p_size * 811 % 36000 AS BIGINT) AS height, CAST([1, 2, 4, 8, 16, 3][p_partkey % 6 + 1] AS BIGINT) AS depth, p_partkey % 8 AS color_type, p_partkey % 3 AS interlace FROM part),
-  vh AS (SELECT *, CASE WHEN width < 1 OR height < 1 THEN 'dimensions' WHEN color_type NOT IN (0, 2, 3, 4, 6) THEN 'colour type'
-  WHEN NOT CASE color_type WHEN 0 THEN depth IN (1, 2, 4, 8, 16) WHEN 3 THEN depth IN (1, 2, 4, 8) ELSE depth IN (8, 16) END THEN 'bit depth' WHEN interlace > 1 THEN 'interlace' ELSE 'ok' END AS verdict FROM hd)"""
-_GEO = _HD + f""", ge AS (SELECT *, columns * depth * CASE color_type WHEN 2 THEN 3 WHEN 4 THEN 2 WHEN 6 THEN 4 ELSE 1 END AS bits FROM (SELECT vh.*, CAST(p.pass AS BIGINT) AS pass, CAST((greatest(width - x0, 0) + dx - 1) // dx AS BIGINT) AS columns, CAST((greatest(height - y0, 0) + dy - 1) // dy AS BIGINT) AS rows
-  FROM vh JOIN (SELECT * FROM (VALUES {PASS_TABLE}) t(pass, x0, y0, dx, dy) UNION ALL SELECT 0, 0, 0, 1, 1) p ON (interlace = 1 AND dx + dy > 2) OR (interlace = 0 AND dx + dy = 2) WHERE verdict = 'ok') WHERE columns > 0 AND rows > 0)"""
-
-
-def _classes() -> str:
-    sides = {"l": f"lag({{0}}) {_ROW}", "r": f"lead({{0}}) {_ROW}", "u": f"lag({{0}}) {_COL}", "d": f"lead({{0}}) {_COL}"}
-    ft = f", ft AS (SELECT px.*, {_Z} AS zone, r * a AS p0, g * a AS p1, b * a AS p2, 255 * a AS p3, {_PACK} AS colour FROM px)"
-    cols = ", ".join(f"{w.format(c)} AS {s}_{c}" for s, w in sides.items() for c in ("p0", "p1", "p2", "p3", "zone", "colour"))
-    step = lambda s: f"CASE WHEN {s}_p0 IS NULL THEN 0 ELSE greatest({', '.join(f'abs(p{i} - {s}_p{i})' for i in range(4))}) END"
-    gt = lambda *xs: f"greatest({', '.join(xs)})"
-    facing = {"l": "r", "r": "l", "u": "d", "d": "u"}
-    steps = ", ".join(f"{step(s)} AS s{s}" for s in sides)
-    beyond = ", ".join(f"{gt(*[f's{o}' for o in sides if o != facing[s]])} AS b{s}" for s in sides)
-    past = ", ".join(f"coalesce({w.format('b' + s)}, 0) AS t{s}" for s, w in sides.items())
-    mine = {s: gt(*[f"s{o}" for o in sides if o != s]) for s in sides}
-    more = "CASE " + " ".join(f"WHEN s{s} = big THEN {gt(mine[s], 't' + s)}" for s in sides) + " END"
-    same = " AND ".join(f"({s}_colour IS NULL OR {s}_colour = colour)" for s in sides)
-    edge = " OR ".join(f"coalesce({s}_zone <> zone, false)" for s in sides)
-    clash = lambda a, b: f"({a} <> 0 AND {b} <> 0 AND ({a} < 0) <> ({b} < 0))"
-    return (
-        ft + f", nb AS (SELECT *, {cols}, p0 + p1 + p2 AS s3 FROM ft), n2 AS (SELECT *, {steps}, ({same}) AS seed, ({edge}) AS edge, lead(s3) {_ROW} AS s3r FROM nb)"
-        f", n3 AS (SELECT *, {gt(*['s' + s for s in sides])} AS big, {beyond}, lead(s3) {_COL} AS s3d, lead(s3r) {_COL} AS s3rd FROM n2)"
-        f", n4 AS (SELECT *, {past}, {clash('(s3r - s3)', '(s3rd - s3d)')} OR {clash('(s3d - s3)', '(s3rd - s3r)')} AS r0 FROM n3)"
-        f", n5 AS (SELECT *, {more} AS more, coalesce(r0, lag(r0) {_ROW}) AS r1 FROM n4), n6 AS (SELECT *, coalesce(r1, lag(r1) {_COL}, false) AS rough FROM n5)"
-        ", cls AS (SELECT image_id, pos, CASE WHEN zone = 0 THEN 'transparent' WHEN EXISTS (SELECT 1 FROM pal WHERE pal.image_id = n6.image_id AND pal.a = n6.a AND pal.r * pal.a = p0 AND pal.g * pal.a = p1 AND pal.b * pal.a = p2) THEN 'protected-exact'"
-        f" WHEN seed THEN 'flat' WHEN edge OR (big >= 1020 AND more * 4 <= big) THEN 'hard-edge' WHEN rough THEN 'texture' WHEN zone = 2 THEN 'gradient-opaque' WHEN a < 64 THEN 'soft-shadow' ELSE 'gradient-alpha' END AS class FROM n6)"
-    )
-
-
-_CLS = _W + _PAL + _classes()
-_DIR = ", ".join(f"('{c}', '{r}', {str(b).lower()}, {n}, {m})" for c, r, b, n, m in regions.DIRECTIVES)
-_GRADE = "coalesce((p0-{0}p0)*(p0-{0}p0)+(p1-{0}p1)*(p1-{0}p1)+(p2-{0}p2)*(p2-{0}p2)+(p3-{0}p3)*(p3-{0}p3), 0)"
-_LG = ", ft AS (SELECT image_id, pos, y, x, r, g, b, a, r * a AS p0, g * a AS p1, b * a AS p2, 255 * a AS p3 FROM px), ls AS (SELECT *, " + ", ".join(
-    f"{f}({p}) {w} AS {s}{p}" for s, f, w in (("l", "lag", _ROW), ("r", "lead", _ROW), ("u", "lag", _COL), ("d", "lead", _COL)) for p in ("p0", "p1", "p2", "p3")
-) + " FROM ft), lg AS (SELECT image_id, pos, r, g, b, a, greatest(" + ", ".join(_GRADE.format(s) for s in "lrud") + ") AS gradient FROM ls)"
-
-
-def _rank(source: str, keys: str) -> str:
-    return f" SELECT image_id, idx, row_number() OVER (PARTITION BY image_id ORDER BY {keys}, idx) - 1 AS new_idx FROM {source}"
-
-
-_SQ = "(l.r*l.a-o.r*o.a)*(l.r*l.a-o.r*o.a)+(l.g*l.a-o.g*o.a)*(l.g*l.a-o.g*o.a)+(l.b*l.a-o.b*o.a)*(l.b*l.a-o.b*o.a)+(255*l.a-255*o.a)*(255*l.a-255*o.a)"
-_FB = _W + _PAL + ", half AS (SELECT * FROM pal WHERE a <> 255)" + _NEAR.format(z=_Z, pal="half")
-ORACLES = {
-    "pixel_relation": _W + " SELECT * FROM px",
-    "zone_counts": _W + f" SELECT image_id, {_Z} AS zone, count(*) AS n FROM px GROUP BY ALL",
-    "guard_predicate": _W + " SELECT image_id, CAST(sum(CAST(a = 255 AS INT)) AS BIGINT) AS opaque, count(*) AS total, sum(CAST(a = 255 AS INT)) * 20000 < count(*) AS fires FROM px GROUP BY image_id",
-    "premult_features": _W + f" SELECT image_id, pos, r * a AS p0, g * a AS p1, b * a AS p2, 255 * a AS p3, {_PACK} AS packed FROM px",
-    "exact_histogram": _W + _EX + f" SELECT *, {_ZONE.format('k3')} AS zone, row_number() OVER (PARTITION BY image_id ORDER BY k0, k1, k2, k3) - 1 AS bin_ord FROM ex",
-    "preclip_histogram": _W + _BINS + " SELECT * FROM bins",
-    "mode_switch": _W + _EX + f", m AS (SELECT *, count(*) OVER (PARTITION BY image_id) <= {LIMIT} AS exact FROM ex), u AS (SELECT image_id, exact, k0, k1, k2, k3, n, sr, sg, sb, sa, sar, sag, sab FROM m WHERE exact UNION ALL SELECT image_id, exact, {_GRID}, n, sr, sg, sb, sa, sar, sag, sab FROM m WHERE NOT exact), g AS (SELECT image_id, exact, k0, k1, k2, k3, {_SUMS} FROM u GROUP BY image_id, exact, k0, k1, k2, k3) SELECT *, {_ZONE.format(_HALF.format('sa', 'n'))} AS zone, row_number() OVER (PARTITION BY image_id ORDER BY k0, k1, k2, k3) - 1 AS bin_ord FROM g",
-    "bin_means": _W + _BINS + " SELECT image_id, bin_ord, r, g, b, a, p0, p1, p2, p3 FROM means",
-    "zone_centroids": _W + _BINS + f" SELECT image_id, zone, n, {', '.join('CASE WHEN ' + _HALF.format('sa', 'n') + ' = 0 THEN 0 ELSE ' + _HALF.format('sa' + c, 'greatest(sa, 1)') + ' END AS ' + c for c in 'rgb')}, {_HALF.format('sa', 'n')} AS a FROM (SELECT image_id, zone, CAST(sum(n) AS BIGINT) AS n, CAST(sum(sa) AS BIGINT) AS sa, CAST(sum(sar) AS BIGINT) AS sar, CAST(sum(sag) AS BIGINT) AS sag, CAST(sum(sab) AS BIGINT) AS sab FROM bins GROUP BY image_id, zone)",
-    "alpha_mass": _W + _BINS + " SELECT image_id, a AS alpha, CAST(sum(n) AS BIGINT) AS mass FROM means GROUP BY ALL",
-    "alpha_quantile_seeds": _W + _BINS + ", m AS (SELECT image_id, a AS alpha, sum(n) AS mass FROM means WHERE a BETWEEN 1 AND 254 GROUP BY ALL), q AS (SELECT image_id, alpha, sum(mass) OVER (PARTITION BY image_id ORDER BY alpha) AS upto, mass, sum(mass) OVER (PARTITION BY image_id) AS total, least(count(*) OVER (PARTITION BY image_id), 8) AS k FROM m) SELECT DISTINCT image_id, alpha FROM q, range(1, 9) t(j) WHERE j <= k AND upto * 2 * k >= (2 * j - 1) * total AND (upto - mass) * 2 * k < (2 * j - 1) * total",
-    "stride_sample": _W + _BINS + " SELECT image_id, bin_ord, n FROM (SELECT *, count(*) OVER (PARTITION BY image_id) AS c FROM bins) WHERE bin_ord % CAST(ceil(c / 100.0) AS BIGINT) = 0",
-    "distinct_zones": _W + f" SELECT DISTINCT image_id, {_Z} AS zone FROM px",
-    "seed_palette": _W + _PAL + " SELECT * FROM pal",
-    "nearest_entry_zone": _W + _PAL + _N + " SELECT * FROM near",
-    "nearest_with_fallback": _FB + f", rest AS (SELECT pt.* FROM pt WHERE zone <> 0 AND NOT EXISTS (SELECT 1 FROM pe WHERE pe.image_id = pt.image_id AND pe.zone = pt.zone)), fb AS (SELECT image_id, r, g, b, a, arg_min(idx, (clear, d2, idx)) AS idx, arg_min(d2, (clear, d2, idx)) AS d2 FROM (SELECT rest.image_id, r, g, b, a, idx, pe.zone = 0 AS clear, (p0-q0)*(p0-q0)+(p1-q1)*(p1-q1)+(p2-q2)*(p2-q2)+(p3-q3)*(p3-q3) AS d2 FROM rest JOIN pe USING (image_id)) GROUP BY ALL) SELECT * FROM near UNION ALL SELECT * FROM fb",
-    "remap_join": _W + _PAL + _ASG + " SELECT * FROM asg",
-    "palette_frequency": _W + _PAL + _ASG + " SELECT * FROM freq",
-    "palette_cleanup": _W + _PAL + _ASG + ", us AS (SELECT pal.*, min(idx) OVER (PARTITION BY image_id, r, g, b, a) AS first FROM pal WHERE EXISTS (SELECT 1 FROM asg WHERE asg.image_id = pal.image_id AND asg.idx = pal.idx AND asg.idx % 3 <> 0)) SELECT image_id, idx, r, g, b, a, dense_rank() OVER (PARTITION BY image_id ORDER BY first) - 1 AS new_idx FROM us",
-    "worst_served": _W + _PAL + f", pe AS (SELECT image_id, idx, {_Z} AS zone, r * a AS q0, g * a AS q1, b * a AS q2, 255 * a AS q3 FROM pal), nn AS (SELECT image_id, zone, bin_ord, {_PACK} AS packed, min((p0-q0)*(p0-q0)+(p1-q1)*(p1-q1)+(p2-q2)*(p2-q2)+(p3-q3)*(p3-q3)) AS d2 FROM means JOIN pe USING (image_id, zone) GROUP BY ALL) SELECT image_id, zone, arg_min(bin_ord, (-d2, packed, bin_ord)) AS bin_ord, max(d2) AS d2, arg_min(packed, (-d2, packed, bin_ord)) AS packed FROM nn GROUP BY image_id, zone",
-    "refine_one_step": _W + _PAL + f", pe AS (SELECT image_id, idx, {_Z} AS zone, r * a AS q0, g * a AS q1, b * a AS q2, 255 * a AS q3 FROM pal), nn AS (SELECT image_id, n, sa, sar, sag, sab, bin_ord, arg_min(idx, (d2, idx)) AS idx FROM (SELECT m.image_id, m.n, sa, sar, sag, sab, bin_ord, idx, (p0-q0)*(p0-q0)+(p1-q1)*(p1-q1)+(p2-q2)*(p2-q2)+(p3-q3)*(p3-q3) AS d2 FROM means m JOIN pe USING (image_id, zone)) GROUP BY ALL), su AS (SELECT image_id, idx, sum(n) AS n, sum(sa) AS sa, sum(sar) AS sar, sum(sag) AS sag, sum(sab) AS sab FROM nn GROUP BY ALL) SELECT pal.image_id, pal.idx, {', '.join('CAST(CASE WHEN n IS NULL OR a = 0 THEN ' + c + ' ELSE ' + _HALF.format('sa' + c, 'greatest(sa, 1)') + ' END AS BIGINT) AS ' + c for c in 'rgb')}, CAST(CASE WHEN n IS NULL OR a = 0 THEN a WHEN a = 255 THEN 255 ELSE {_HALF.format('sa', 'n')} END AS BIGINT) AS a FROM pal LEFT JOIN su USING (image_id, idx)",
-    "local_gradient": _W + _LG + " SELECT image_id, pos, gradient FROM lg",
-    "adaptive_strength": _W + _PAL + _N + _LG + " SELECT lg.image_id, pos, CASE WHEN d2 + gradient = 0 THEN 0 ELSE d2 END AS num, CASE WHEN d2 + gradient = 0 THEN 1 ELSE d2 + gradient END AS den FROM lg JOIN near USING (image_id, r, g, b, a)",
-    "flat_seeds": _CLS + " SELECT image_id, pos, seed FROM n6",
-    "region_classes": _CLS + " SELECT image_id, pos, class FROM cls",
-    "region_directives": _CLS + f" SELECT image_id, pos, region, barrier, CAST(num AS BIGINT) AS num, CAST(den AS BIGINT) AS den FROM cls JOIN (VALUES {_DIR}) t(class, region, barrier, num, den) USING (class)",
-    "class_counts": _CLS + " SELECT image_id, class, count(*) AS n FROM cls GROUP BY ALL",
-    "unit_strength": _CLS + ", ct AS (SELECT image_id, count(*) FILTER (class IN ('gradient-opaque', 'gradient-alpha', 'soft-shadow')) AS b, count(*) FILTER (class IN ('texture', 'flat')) AS n FROM cls GROUP BY image_id) SELECT image_id, b AS num, CASE WHEN b + n = 0 THEN 1 ELSE b + n END AS den FROM ct",
-    "bluenoise_remap": _W + _PAL + f", mk AS (SELECT *, ((CAST((my * 37 + mx * 11 + c * 23 + my * mx) % 64 AS DOUBLE) + 0.5) / 64.0 - 0.5) AS v FROM range(3) a(c), range(8) b(my), range(8) d(mx)), wd AS (SELECT my, mx, max(v) FILTER (c = 0) AS n0, max(v) FILTER (c = 1) AS n1, max(v) FILTER (c = 2) AS n2 FROM mk GROUP BY ALL), mv AS (SELECT image_id, pos, a, {_Z} AS zone, {', '.join(f'CAST(greatest(0, least(255, CAST(round_even({c} + {255.0 / 24 ** (1 / 3)!r} * (0.25 * n{i} + 0.75 * ((n0 + n1 + n2) / 3.0)), 0) AS BIGINT))) AS BIGINT) AS m{i}' for i, c in enumerate('rgb'))} FROM px JOIN wd ON y % 8 = my AND x % 8 = mx), pe AS (SELECT image_id, idx, {_Z} AS zone, r * a AS q0, g * a AS q1, b * a AS q2, 255 * a AS q3 FROM pal) SELECT image_id, pos, arg_min(idx, (d2, idx)) AS idx FROM (SELECT mv.image_id, pos, idx, (m0*a-q0)*(m0*a-q0)+(m1*a-q1)*(m1*a-q1)+(m2*a-q2)*(m2*a-q2)+(255*a-q3)*(255*a-q3) AS d2 FROM mv JOIN pe USING (image_id, zone)) GROUP BY image_id, pos",
-    "row_filters": _TB + " SELECT * FROM fl",
-    "filter_residual": _TB + " SELECT * FROM sc",
-    "best_filter": _TB + " SELECT image_id, y, arg_min(filter, (score, filter)) AS filter, min(score) AS score FROM sc GROUP BY image_id, y",
-    "bit_packing": _W + _PAL + _ASG + " SELECT image_id, y, x // 2 AS x, CAST(sum((idx % 16) * CASE WHEN x % 2 = 0 THEN 16 ELSE 1 END) AS BIGINT) AS v FROM asg GROUP BY image_id, y, x // 2",
-    "order_frequency": _W + _PAL + _ASG + _rank("freq", "n DESC"),
-    "order_luminance": _W + _PAL + _rank("pal", "299 * r + 587 * g + 114 * b"),
-    "order_channel": _W + _PAL + _rank("pal", "r, g, b, a"),
-    "order_alpha_first": _W + _PAL + _rank("pal", "a = 255, a"),
-    "order_alpha_frequency": _W + _PAL + _ASG + _rank("(SELECT pal.*, n FROM pal JOIN freq USING (image_id, idx))", "a = 255, n DESC, CASE WHEN a <> 255 THEN a END"),
-    "order_transparent_front": _W + _PAL + ", h AS (SELECT *, sum(CAST(a <> 255 AS INT)) OVER (PARTITION BY image_id) AS soft, sum(CAST(a = 0 AS INT)) OVER (PARTITION BY image_id) AS clear FROM pal WHERE idx % 9 IN (0, 8))" + _rank("h WHERE soft = 1 AND clear = 1", "a <> 0"),
-    "spatial_adjacency": _W + _PAL + _ASG + f", p AS (SELECT image_id, idx AS i, lead(idx) {_ROW} AS j FROM asg UNION ALL SELECT image_id, idx, lead(idx) {_COL} FROM asg), q AS (SELECT * FROM p UNION ALL SELECT image_id, j, i FROM p) SELECT image_id, i, j, count(*) AS n FROM q WHERE i <> j GROUP BY ALL",
-    "byte_cooccurrence": _W + _PAL + _ASG + " SELECT l.image_id, l.idx AS i, o.idx AS j, count(*) AS n FROM asg l JOIN asg o ON l.image_id = o.image_id AND l.y = o.y AND l.x // 2 = o.x // 2 AND l.x <> o.x AND l.idx <> o.idx GROUP BY ALL",
-    "best_variant": _VT + " SELECT * FROM sm",
-    "finalists": _VT + " SELECT image_id, palette, gen, len, rank FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY len, gen) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY image_id, palette ORDER BY len, gen) AS f FROM vt) WHERE f = 1) WHERE rank <= 3",
-    "never_worse": _VT + " SELECT image_id, CASE WHEN len < 30 THEN len ELSE 30 END AS bytes, NOT (len < 30) AS fallback FROM sm",
-    "mse": _W + _PAL + _ASG + f" SELECT l.image_id, CAST(sum({_SQ}) AS BIGINT) AS total, count(*) AS n FROM px l JOIN asg USING (image_id, pos) JOIN pal o ON o.image_id = asg.image_id AND o.idx = asg.idx GROUP BY l.image_id",
-    "identity_check": _W + _PAL + _ASG + " SELECT l.image_id, l.pos FROM px l JOIN asg USING (image_id, pos) JOIN pal o ON o.image_id = asg.image_id AND o.idx = asg.idx WHERE NOT (l.r = o.r AND l.g = o.g AND l.b = o.b AND l.a = o.a)",
-    "header_validation": _HD + " SELECT * FROM vh",
-    "adam7_geometry": _GEO + " SELECT image_id, pass, columns, rows, (bits + 7) // 8 AS row_bytes FROM ge",
-    "resource_limits": _GEO + " SELECT image_id, CAST(sum(rows * (1 + (bits + 7) // 8)) AS BIGINT) AS scan, CASE WHEN any_value(width) > 32768 OR any_value(height) > 32768 THEN 'dimension' WHEN any_value(width * height) > 67108864 THEN 'pixels' WHEN sum(rows * (1 + (bits + 7) // 8)) > 536870912 THEN 'scanlines' ELSE 'ok' END AS verdict FROM ge GROUP BY image_id",
-    "chunk_framing": "SELECT page_id, sha256(unhex(printf('%08X', octet_length(encode(url)))) || encode('tEXt') || encode(url)) AS sha, CAST(8 + octet_length(encode(url)) AS BIGINT) AS n FROM pages",
-    "json_report": _VT + """ SELECT image_id, '{"schema":"tessera.report/1","bytes":' || least(len, 50000) || ',"never_worse_fallback":' || CASE WHEN len < 50000 THEN 'false' ELSE 'true' END || '}' AS report FROM sm""",
 }
