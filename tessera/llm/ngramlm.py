@@ -2,8 +2,8 @@
 
 P(w | u) mixes the maximum-likelihood estimates c(uw)/c(u), c(w)/N and 1/(V+1).  The weights depend
 on how often the context u was seen (buckets of doubling counts) and are learned by
-expectation-maximisation on held-out counts: each chunk of the training texts is set aside in turn,
-and its own counts are deleted from the estimates that score them.  For the learning, ratios of
+expectation-maximisation on held-out counts: each sixteenth of each chunk of the training texts is
+set aside in turn, and its own counts are deleted from the estimates that score it.  For the learning, ratios of
 probabilities are rounded to quarters of a doubling, so each is off by 9 % at most; scores use
 exact ratios.
 
@@ -38,6 +38,7 @@ from tessera.storage import keep
 CHUNK_BYTES, MESSAGE_BYTES = 12 << 20, 4 << 10
 LEAST_RANGES = 64
 BUCKETS = 24
+BLOCKS = 16  # parts of a chunk that are set aside in turn
 GRID, LEVELS = 4, 400  # cells of the held-out statistics: per doubling of a probability ratio, and in all
 #: Weights (bigram, unigram, uniform) where nothing was held out.
 DEFAULT = (0.5, 0.4, 0.1)
@@ -271,16 +272,22 @@ def _ready(row: dict, pair_bits: int) -> tuple[Chunk, np.ndarray, np.ndarray]:
 
 def held_out_cells(chunk: Chunk, words: np.ndarray, pairs: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """How often the chunk's training tokens fall into each cell of (bucket, bigram ratio, unigram
-    ratio), by the counts of all other chunks."""
-    words, pairs = words - chunk.word_counts, pairs - chunk.pair_counts
-    left = Model(max(model.tokens - int(chunk.word_counts.sum()), 0), model.types, model.weights)
-    own = np.flatnonzero(chunk.pair_counts)
-    context = words[chunk.pair_context[own]]
-    p2, p1, p0 = left.probabilities(pairs[own], words[chunk.pair_word[own]], context)
+    ratio), by the counts of all documents but their block's."""
     half = LEVELS // 2
-    level = lambda p: np.where(p > 0, np.clip(np.rint(GRID * np.log2(np.maximum(p, 1e-300) / p0)) + half, 1, LEVELS - 1), 0).astype(np.int64)
-    cell, at = np.unique((bucket(context) * LEVELS + level(p2)) * LEVELS + level(p1), return_inverse=True)
-    return cell, np.bincount(at, chunk.pair_counts[own], len(cell)).astype(np.int64)
+    level = lambda p, p0: np.where(p > 0, np.clip(np.rint(GRID * np.log2(np.maximum(p, 1e-300) / p0)) + half, 1, LEVELS - 1), 0).astype(np.int64)
+    block = np.repeat(np.where(chunk.held, -1, np.arange(len(chunk.sizes)) % BLOCKS), chunk.sizes)
+    cells, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for b in range(min(BLOCKS, len(chunk.sizes))):
+        here = np.flatnonzero(block == b)
+        left = words - np.bincount(chunk.word_at[here], minlength=len(words))
+        n = np.bincount(chunk.pair_at[here], minlength=len(pairs))
+        own = np.flatnonzero(n)
+        context = left[chunk.pair_context[own]]
+        p2, p1, p0 = Model(model.tokens - len(here), model.types, model.weights).probabilities(pairs[own] - n[own], left[chunk.pair_word[own]], context)
+        cells.append((bucket(context) * LEVELS + level(p2, p0)) * LEVELS + level(p1, p0))
+        times.append(n[own])
+    cell, at = np.unique(np.concatenate(cells), return_inverse=True)
+    return cell, np.bincount(at, np.concatenate(times), len(cell)).astype(np.int64)
 
 
 def learn(cells: np.ndarray, n: np.ndarray, rounds: int = 60) -> np.ndarray:
