@@ -1,5 +1,9 @@
 """Toxicity by a classifier chain: each category's linear model also sees the earlier categories' scores.
 
+Categories are columns of the labels.  Where these have none, they are found in the toxic rows:
+groups of rows that share words, by spherical k-means over the words that tell toxic rows apart.
+The last link of the chain is the label itself.
+
 The models are logistic regressions on the presence of chosen words and of chosen character n-grams
 of words, which inflected and compound words share.  While training, a later model sees out-of-fold
 probabilities of the earlier ones, that is what they say of rows they weren't fitted on, as will be
@@ -10,6 +14,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,12 +28,7 @@ from tessera.llm.common import as_text, fields, map_documents
 WORD = re.compile(r"[^\W\d_]+")
 MOST_ROWS, MOST_WORDS, MOST_GRAMS = 10_000, 2_000, 500
 GRAMS = (3, 4, 5, 6)
-#: Words that tell the finer categories of a toxic row apart.
-SEEDS = {
-    "insult": ("idiot", "moron", "loser", "clown", "scum"),
-    "contempt": ("stupid", "worthless", "pathetic", "disgusting", "trash"),
-}
-CHAIN = ("insult", "contempt", "toxic")
+GROUPS = 2
 
 
 def words_of(text: str) -> set[str]:
@@ -64,8 +64,14 @@ class Features(dict):
         return sorted(set().union(*map(self.__getitem__, words)))
 
 
+def names_of(categories: Sequence[str] = (), groups: int = GROUPS) -> tuple[str, ...]:
+    """The chain's links in order."""
+    return (*(categories or [f"group_{i + 1}" for i in range(groups)]), "toxic")
+
+
 @dataclass
 class Chain:
+    names: tuple[str, ...]
     index: dict[str, int]  # n-grams with a space before them
     weights: np.ndarray  # category x (words and n-grams, earlier categories)
     bias: np.ndarray
@@ -106,7 +112,7 @@ def fit_linear(flat, of, n, size, extra, y, *, rounds: int = 120, rate: float =
     return np.concatenate([params[:size], params[size:-1]]), float(params[-1])
 
 
-def fit_chain(index: dict[str, int], flat, of, n: int, y: np.ndarray, *, folds: int = 3) -> Chain:
+def fit_chain(names: tuple[str, ...], index: dict[str, int], flat, of, n: int, y: np.ndarray, *, folds: int = 3) -> Chain:
     """``y`` has a column per category, in the chain's order."""
     size, k = len(index), y.shape[1]
     weights, bias = np.zeros((k, size + k)), np.zeros(k)
@@ -120,7 +126,7 @@ def fit_chain(index: dict[str, int], flat, of, n: int, y: np.ndarray, *, folds:
             w, b = fit_linear(flat[own], new[of[own]], int(inside.sum()), size, seen[inside, :c], y[inside, c])
             margin = b + np.bincount(of, w[flat], n) + seen[:, :c] @ w[size:]
             seen[~inside, c] = sigmoid(margin)[~inside]
-    return Chain(index, weights, bias)
+    return Chain(names, index, weights, bias)
 
 
 class Vocabulary:
@@ -164,15 +170,49 @@ def strongest(a: np.ndarray, b: np.ndarray, toxic: float, clean: float, most: in
     return chosen[chi[chosen] > 0]
 
 
-def fit_rows(known: Vocabulary, y: np.ndarray, folds: int, most_words: int, most_grams: int) -> tuple[Chain, np.ndarray]:
+def grouped(codes: np.ndarray, of: np.ndarray, y: np.ndarray, words: np.ndarray, groups: int, rounds: int = 20) -> np.ndarray:
+    """A column for each group: which toxic rows belong to it, by the presence of words that are commoner
+    in toxic rows.  Rows without such a word belong to none.  Larger groups come first."""
+    n, out = len(y), np.zeros((len(y), groups))
+    place = np.full(int(codes.max(initial=-1)) + 1, -1)
+    place[words] = np.arange(len(words))
+    there = place[codes] >= 0
+    has = np.zeros((n, len(words)), np.float32)
+    has[of[there], place[codes[there]]] = 1
+    toxic = y == 1
+    telling = has[toxic].mean(0) > has[~toxic].mean(0) if toxic.any() and not toxic.all() else np.zeros(len(words), bool)
+    rows = np.flatnonzero(toxic)
+    x = has[rows][:, telling]
+    x *= np.log1p(len(rows) / np.maximum(x.sum(0), 1))
+    size = np.sqrt((x * x).sum(1))
+    rows, x = rows[size > 0], x[size > 0] / size[size > 0, None]
+    if not len(rows):
+        return out
+    centres = x[[int(x.sum(1).argmax())]]
+    while len(centres) < min(groups, len(rows)):
+        centres = np.concatenate([centres, x[[int((x @ centres.T).max(1).argmin())]]])
+    own = np.full(len(rows), -1)
+    for _ in range(rounds):
+        now = (x @ centres.T).argmax(1)
+        if np.array_equal(now, own):
+            break
+        own = now
+        sums = np.stack([x[own == k].sum(0) for k in range(len(centres))])
+        norm = np.sqrt((sums * sums).sum(1, keepdims=True))
+        centres = np.where(norm > 0, sums / np.maximum(norm, 1e-9), centres)
+    order = np.argsort(-np.bincount(own, minlength=groups), kind="stable")
+    out[rows, np.argsort(order)[own]] = 1
+    return out
+
+
+def fit_rows(known: Vocabulary, y: np.ndarray, named: np.ndarray | None, names: tuple[str, ...], folds: int, most_words: int, most_grams: int) -> tuple[Chain, np.ndarray]:
     """The chain of all rows, and the probabilities that chains without a row's fold give the row.
 
-    Such a chain chooses its features without that fold as well.
+    Such a chain chooses its features, and finds its groups, without that fold as well.  ``named`` has
+    the columns of given categories.
     """
     n, fold = len(y), np.arange(len(y)) % folds
     codes, of = known.codes, known.of
-    hits = [np.bincount(of[np.isin(codes, np.flatnonzero(np.isin(known.words, SEEDS[c])))], minlength=n) > 0 for c in CHAIN[:-1]]
-    targets = np.stack([*(y * h for h in hits), y], 1)
     # a column per fold and label, so that what a fold leaves is a sum of columns
     group = fold * 2 + y.astype(np.int64)
     word_counts = np.stack([np.bincount(codes[group[of] == g], minlength=len(known.words)) for g in range(2 * folds)])
@@ -204,7 +244,9 @@ def fit_rows(known: Vocabulary, y: np.ndarray, folds: int, most_words: int, most
         flat, rows = np.concatenate([to_word[codes], to_gram[gram]]), np.concatenate([of, gram_of])
         rows, flat = rows[flat >= 0], flat[flat >= 0]
         own, new = inside[rows], np.cumsum(inside) - 1
-        fitted = fit_chain(index, flat[own], new[rows[own]], int(inside.sum()), targets[inside])
+        here = inside[of]
+        finer = named[inside] if named is not None else grouped(codes[here], new[of[here]], y[inside], words, len(names) - 1)
+        fitted = fit_chain(names, index, flat[own], new[rows[own]], int(inside.sum()), np.column_stack([finer, y[inside]]))
         if chain is None:
             chain = fitted
         else:
@@ -227,16 +269,22 @@ def fit_cut(p: np.ndarray, y: np.ndarray, lost: float) -> float:
     return float(np.clip(sigmoid((a + b) / 2), np.nextafter(least, 2), above.min()))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, most_rows: int = MOST_ROWS, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS, lost: float = 0.003, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Chain | None:
+def train(
+    docs: DataFrame, labels: DataFrame, *, categories: Sequence[str] = (), groups: int = GROUPS, most_rows: int = MOST_ROWS, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS,
+    lost: float = 0.003, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+) -> Chain | None:
     """Fit the chain on at most ``most_rows`` labelled rows (those of the smallest hashes of their ids).
 
-    The finer categories are toxic rows with a seed word.  Words and n-grams are those with the
-    strongest chi-square against the label, in five rows or more.  The cut rejects at most a share
-    ``lost`` of the clean rows by out-of-fold scores.  Without rows of both labels there is no
-    model (None).
+    ``categories`` names 0/1 columns of the labels, the links before the last; without any, ``groups``
+    are found in the toxic rows.  Words and n-grams are those with the strongest chi-square against the
+    label, in five rows or more.  The cut rejects at most a share ``lost`` of the clean rows by
+    out-of-fold scores.  Labels other than 0 and 1 and null ids are left out, null categories count as
+    0, an id labelled twice has a label if it has it once.  A labelled id of many rows gives at most
+    ``most_rows`` rows in all.  Without rows of both labels there is no model (None).
     """
+    marks = {"__y": label_col} | {f"__c{i}": c for i, c in enumerate(categories)}
     picked = (
-        labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("bigint").alias("__y"))
+        labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(*[F.max(F.coalesce(F.col(c), F.lit(0))).cast("bigint").alias(k) for k, c in marks.items()])
         .orderBy(F.xxhash64("__id"), "__id").limit(most_rows)
     )
     known = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "__id")
@@ -244,37 +292,38 @@ def train(docs: DataFrame, labels: DataFrame, *, most_rows: int = MOST_ROWS, mos
     def make():
         return lambda texts: {"words": [sorted(words_of(t)) for t in as_text(texts)]}
 
-    rows = map_documents(known, make, fields("words array<string>"), keep=("__id", "__y")).toArrow().combine_chunks()
-    rows = rows.take(pc.sort_indices(rows["__id"])).slice(0, most_rows)
+    made = map_documents(known, make, fields("words array<string>"), keep=("__id", *marks))
+    rows = made.orderBy("__id", F.xxhash64("words")).limit(most_rows).toArrow().combine_chunks()
     y = np.array(rows["__y"].to_pylist(), float)
     if len(y) < 20 or y.min() == y.max():
         return None
-    lists = rows["words"].combine_chunks()
-    model, held = fit_rows(Vocabulary(lists), y, 3, most_words, most_grams)
+    named = np.stack([np.array(rows[f"__c{i}"].to_pylist(), float) for i in range(len(categories))], 1) if categories else None
+    model, held = fit_rows(Vocabulary(rows["words"].combine_chunks()), y, named, names_of(categories, groups), 3, most_words, most_grams)
     model.cut = fit_cut(held, y, lost)
     return model
 
 
 def judge(docs: DataFrame, model: Chain | None, *, text_col: str = "text", keep=("doc_id",)) -> DataFrame:
-    """Adds p_insult, p_contempt, p_toxic and toxic (the last one at the model's cut or above).
+    """Adds a probability for each link of the chain (p_group_1, p_group_2, p_toxic if categories weren't
+    given) and toxic (the last one at the model's cut or above).
 
-    Null and empty texts have no features and get the models' base rates.  Without a model all are 0
-    and nothing is toxic.  Repeated rows get equal results; no rows give none.
+    Null and empty texts have no features and get the models' base rates.  Texts of any length are read
+    whole.  Without a model all are 0 and nothing is toxic.  Repeated rows get equal results; no rows
+    give none.  Input columns other than those of ``keep`` are dropped, and one of those named like an
+    output gives way.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = model.names if model else names_of()
 
     def make():
         chain = shared.value
         known = Features(chain.index if chain else {})
 
         def kernel(texts: pa.Array) -> dict:
-            if chain is None:
-                p = np.zeros((len(texts), len(CHAIN)))
-                return {f"p_{c}": p[:, i] for i, c in enumerate(CHAIN)} | {"toxic": np.zeros(len(p), bool)}
-            p = chain.probabilities([known.of(words_of(t)) for t in as_text(texts)])
-            return {f"p_{c}": p[:, i] for i, c in enumerate(CHAIN)} | {"toxic": p[:, -1] >= chain.cut}
+            p = chain.probabilities([known.of(words_of(t)) for t in as_text(texts)]) if chain else np.zeros((len(texts), len(names)))
+            return {f"p_{c}": p[:, i] for i, c in enumerate(names)} | {"toxic": p[:, -1] >= chain.cut if chain else np.zeros(len(p), bool)}
 
         return kernel
 
-    out = fields(", ".join(f"p_{c} double" for c in CHAIN) + ", toxic boolean")
+    out = fields(", ".join(f"p_{c} double" for c in names) + ", toxic boolean")
     return map_documents(docs, make, out, text_col=text_col, keep=keep)
