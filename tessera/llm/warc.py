@@ -1,7 +1,8 @@
 """Derivatives of web archives: from each response a metadata record and a plain-text conversion record.
 
-Both refer to their response by its identifier, repeat its source headers (target, date, payload
-digest) and carry a digest of their own block.
+Both refer to their response by its identifier, repeat its source headers (target, date, HTTP
+headers, digests of payload and block) and carry a digest of their own block.  A page is read by one
+pass over its tags, in time linear in its length whatever is in it.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ import base64
 import hashlib
 import html
 import re
+import string
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,19 +21,29 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import arrow_type, fields
 
-COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.DOTALL)
-HIDDEN = re.compile(r"<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.DOTALL | re.IGNORECASE)
-BLOCK = re.compile(r"""</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|nav|header|footer|title|blockquote|pre|hr|main|aside|dl|dt|dd|form|figure)\b(?:[^<>"']|"[^"<]*"|'[^'<]*')*>""", re.IGNORECASE)
-TAG = re.compile(r"""<[a-zA-Z/!?](?:[^<>"']|"[^"<]*"|'[^'<]*')*>""")
-TITLE = re.compile(r"<title\b[^>]*>([^<]*)", re.IGNORECASE)
-LANG = re.compile(r"""<html\b[^>]*\blang=["']?([A-Za-z-]+)""", re.IGNORECASE)
-HREF = re.compile(r"""<a\b[^<>]*?\bhref=(?:"([^"<>]*)"|'([^'<>]*)')""", re.IGNORECASE)
+#: What begins with <: a comment, or a tag with its name and attributes, or a declaration.
+MARK = re.compile(r"""<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*)>|<[!?/](?:[^<>"']|"[^"<]*"|'[^'<]*')*>""")
+#: An attribute; values may be bare.
+ATTRIBUTE = re.compile(r"""([^\s"'<>=/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+)))?""")
+#: Elements whose content isn't text, and those that begin a line.
+HIDDEN = {"script", "style", "noscript", "template"}
+BLOCK = set("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 article section nav header footer title blockquote pre hr main aside dl dt dd form figure".split())
+LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 BLANK = re.compile(r"[ \t\x0b\f\r\xa0]+")
+#: The date of responses whose table has none.
 DATE = "2024-01-01T00:00:00Z"
+HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8"
 RECORD = fields(
     "warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, "
     "source_payload_digest string, source_block_digest string, source_http string, block_digest string, content_length bigint, block binary"
 )
+#: Header names of a serialised record, and the columns that they hold.
+NAMES = (
+    ("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"),
+    ("WARC-Refers-To-Target-URI", "target_uri"), ("WARC-Refers-To-Date", "warc_date"), ("X-Source-Payload-Digest", "source_payload_digest"), ("X-Source-Block-Digest", "source_block_digest"),
+    ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"),
+)
+SOURCE = "X-Source-HTTP"
 
 
 def sha1(data: bytes) -> str:
@@ -42,59 +55,125 @@ def urn(*parts: str) -> str:
     return f"<urn:uuid:{h[:8]}-{h[8:12]}-5{h[13:16]}-a{h[17:20]}-{h[20:32]}>"
 
 
-def plain_text(page: str) -> str:
-    """Visible text: one line per block, entities resolved, white space collapsed, empty lines dropped."""
-    x = COMMENT.sub("", page) if "<!--" in page else page
-    x = TAG.sub("", BLOCK.sub("\n", HIDDEN.sub(" ", x)))
-    lines = (BLANK.sub(" ", line).strip() for line in html.unescape(x).split("\n"))
-    return "\n".join(line for line in lines if line)
-
-
-def about(page: str) -> bytes:
-    """Fields of a metadata block: title, language, number of links, then each distinct link in order."""
-    links = list(dict.fromkeys(html.unescape(a or b) for a, b in HREF.findall(page)))
-    title, lang = TITLE.search(page), LANG.search(page)
-    lines = [("title", BLANK.sub(" ", html.unescape(title[1])).strip() if title else ""), ("language", lang[1] if lang else ""), ("links", str(len(links))), *(("outlink", x) for x in links)]
+def marks(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Comments and tags as (start, end, name, closing, attributes); comments and declarations have no
+    name.  A hidden element is one mark up to and with its closing tag, or to the end of the page."""
+    at, low = 0, None
+    while m := MARK.search(page, at):
+        name = (m[2] or "").lower()
+        end = m.end()
+        if m[0] == "<!--":
+            end = page.find("-->", end)
+            end = len(page) if end < 0 else end + 3
+        elif name in HIDDEN and not m[1]:
+            low = page.translate(LOWER) if low is None else low
+            close = low.find(f"</{name}", end)
+            tail = low.find(">", close) if close >= 0 else -1
+            end = tail + 1 if tail >= 0 else len(page)
+        yield m.start(), end, name, bool(m[1]), m[3] or ""
+        at = end
+
+
+def attribute(text: str, name: str) -> str | None:
+    """The first attribute of that name."""
+    return next((next((v for v in m.groups()[1:] if v is not None), "") for m in ATTRIBUTE.finditer(text) if m[1].lower() == name), None)
+
+
+def read(page: str) -> tuple[str, str, list[str], str]:
+    """Title, language, distinct links in order, and the visible text: one line per block, entities
+    resolved, white space collapsed, empty lines dropped."""
+    parts, at, title, language, links = [], 0, None, None, {}
+    began = None  # where the title's text begins
+    for start, end, name, closing, text in marks(page):
+        parts.append(page[at:start])
+        if began is not None:
+            title, began = page[began:start], None
+        if name in HIDDEN:
+            parts.append(" ")
+        elif name in BLOCK:
+            parts.append("\n")
+        if name == "title" and not closing and title is None:
+            began = end
+        elif name == "html" and not closing and language is None:
+            language = attribute(text, "lang")
+        elif name == "a" and not closing and (href := attribute(text, "href")) is not None:
+            links[html.unescape(href)] = None
+        at = end
+    parts.append(page[at:])
+    if began is not None:
+        title = page[began:]
+    lines = (BLANK.sub(" ", line).strip() for line in html.unescape("".join(parts)).split("\n"))
+    return BLANK.sub(" ", html.unescape(title or "")).strip(), language or "", list(links), "\n".join(line for line in lines if line)
+
+
+def about(title: str, language: str, links: list[str]) -> bytes:
+    """A metadata block: title, language, number of links, then each distinct link in order."""
+    lines = [("title", title), ("language", language), ("links", str(len(links))), *(("outlink", x) for x in links)]
     return "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in lines).encode("utf-8", "surrogatepass")
 
 
 def derive(target: str | None, date: str | None, record_id: str, http: str | None, payload: bytes) -> list[tuple]:
-    page = payload.decode("utf-8", "replace")
+    title, language, links, text = read(payload.decode("utf-8", "replace"))
     head = (http or "").encode("utf-8", "surrogatepass")
     digests = sha1(payload), sha1(head + b"\r\n\r\n" + payload)
     out = []
-    for kind, mime, block in (("metadata", "application/warc-fields", about(page)), ("conversion", "text/plain; charset=UTF-8", plain_text(page).encode("utf-8", "replace"))):
+    for kind, mime, block in (("metadata", "application/warc-fields", about(title, language, links)), ("conversion", "text/plain; charset=UTF-8", text.encode("utf-8", "replace"))):
         out.append((kind, urn(record_id, kind), record_id, target, date, mime, *digests, http, sha1(block), len(block), block))
     return out
 
 
 def serialise(record: dict) -> bytes:
-    """One record in the WARC/1.1 form."""
-    head = [("WARC-Type", record["warc_type"]), ("WARC-Record-ID", record["record_id"]), ("WARC-Refers-To", record["refers_to"]), ("WARC-Target-URI", record["target_uri"]),
-            ("WARC-Date", record["warc_date"]), ("WARC-Block-Digest", record["block_digest"]), ("Content-Type", record["content_type"]), ("Content-Length", record["content_length"])]
-    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head if v is not None).encode() + b"\r\n" + record["block"] + b"\r\n\r\n"
-
-
-def responses(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """One record in the WARC/1.1 form.  The response's target and date stand as refers-to headers as
+    well, its digests and each line of its HTTP headers as extension headers."""
+    head = [(name, record[column]) for name, column in NAMES if record[column] is not None]
+    head += [(SOURCE, line) for line in (record["source_http"] or "").split("\r\n") if record["source_http"] is not None]
+    return b"WARC/1.1\r\n" + "".join(f"{k}: {' '.join(str(v).splitlines())}\r\n" for k, v in head).encode("utf-8", "surrogatepass") + b"\r\n" + record["block"] + b"\r\n\r\n"
+
+
+def parse(data: bytes) -> dict:
+    """A serialised record's columns."""
+    head, _, body = data.partition(b"\r\n\r\n")
+    first, *lines = head.decode("utf-8", "surrogatepass").split("\r\n")
+    if first != "WARC/1.1":
+        raise ValueError("not a WARC/1.1 record")
+    got, http, columns = dict.fromkeys(f.name for f in RECORD), [], dict(NAMES)
+    for line in lines:
+        name, _, value = line.partition(": ")
+        if name == SOURCE:
+            http.append(value)
+        else:
+            got[columns[name]] = value
+    got["source_http"] = "\r\n".join(http) if http else None
+    got["content_length"] = int(got["content_length"])
+    got["block"] = body[: got["content_length"]]
+    if len(got["block"]) != got["content_length"] or body[got["content_length"] :] != b"\r\n\r\n" or sha1(got["block"]) != got["block_digest"]:
+        raise ValueError("the block doesn't fit its length or digest")
+    return got
+
+
+def responses(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date_col: str | None = None, date: str = DATE) -> DataFrame:
     """Pages as response records: id, record_id, target_uri, warc_date, http, payload.
 
-    The identifier follows from id and address alone.  A null page has a null payload.
+    The date is that of ``date_col``, or ``date`` for all.  The identifier follows from id, address,
+    date and payload, so two captures of an address have two; wholly repeated rows repeat theirs.  A
+    null page has a null payload.
     """
-    name = F.sha1(F.concat_ws("\n", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.coalesce(F.col(f"`{url_col}`"), F.lit(""))))
+    day, body = F.lit(date) if date_col is None else F.col(f"`{date_col}`").cast("string"), F.col(f"`{html_col}`").cast("binary")
+    told = [F.coalesce(x.cast("string"), F.lit("")) for x in (F.col(f"`{id_col}`"), F.col(f"`{url_col}`"), day, F.sha1(body))]
+    name = F.sha1(F.concat_ws("\n", *told))
     part = lambda a, n: F.substring(name, a, n)
     record = F.concat(F.lit("<urn:uuid:"), part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-a"), part(18, 3), F.lit("-"), part(21, 12), F.lit(">"))
-    return pages.select(
-        F.col(f"`{id_col}`"), record.alias("record_id"), F.col(f"`{url_col}`").alias("target_uri"), F.lit(DATE).alias("warc_date"),
-        F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8").alias("http"), F.col(f"`{html_col}`").cast("binary").alias("payload"),
-    )
+    return pages.select(F.col(f"`{id_col}`"), record.alias("record_id"), F.col(f"`{url_col}`").alias("target_uri"), day.alias("warc_date"), F.lit(HTTP).alias("http"), body.alias("payload"))
 
 
 def derivatives(source: DataFrame, *, id_col: str = "page_id") -> DataFrame:
     """Two records for each response, of types metadata and conversion, beside the response's id.
 
-    A null payload counts as empty: its metadata has no title and no links, its text is empty.
-    Damaged UTF-8 is replaced.  Repeated responses give repeated records; none give none.  Columns
-    that aren't part of a response are dropped.
+    A null payload counts as empty: its metadata has no title and no links, its text is empty.  Null
+    targets, dates and headers stay null.  Damaged UTF-8 is replaced.  Pages of any length are read
+    whole; of repeated titles, languages and attributes the first counts.  Repeated responses give
+    repeated records; none give none.  Columns that aren't part of a response are dropped, whatever
+    their names.
     """
     names = ("target_uri", "warc_date", "record_id", "http", "payload")
     frame = source.select(f"`{id_col}`", *names)
