@@ -157,7 +157,9 @@ def train(docs: DataFrame, labels: DataFrame, *, most_rows: int = MOST_ROWS, los
     """Fit on at most ``most_rows`` labelled rows (those of the smallest hashes of their ids).
 
     The cut is 0.5, or lower if out-of-fold scores would reject more than ``lost`` of the good rows.
-    Without rows of both labels there is no model (None).
+    Without rows of both labels there is no model (None).  Labels other than 0 and 1 and null ids are
+    left out; an id labelled twice counts as good if it is so once.  A labelled id of many rows gives
+    at most ``most_rows`` rows in all.  Ids may be of any type with an order.
     """
     picked = (
         labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("bigint").alias("__y"))
@@ -172,11 +174,10 @@ def train(docs: DataFrame, labels: DataFrame, *, most_rows: int = MOST_ROWS, los
 
         return kernel
 
-    rows = map_documents(known, make, fields("x array<double>, failed boolean"), keep=("__id", "__y")).where("not failed").toArrow()
-    ids = np.array(rows["__id"].to_pylist(), np.int64)
-    order = np.argsort(ids, kind="stable")[:most_rows]
-    x = np.array(rows["x"].to_pylist(), float).reshape(-1, len(FEATURES))[order]
-    y = np.array(rows["__y"].to_pylist(), float)[order]
+    made = map_documents(known, make, fields("x array<double>, failed boolean"), keep=("__id", "__y"))
+    rows = made.where("not failed").orderBy("__id", F.xxhash64("x")).limit(most_rows).toArrow()
+    x = np.array(rows["x"].to_pylist(), float).reshape(-1, len(FEATURES))
+    y = np.array(rows["__y"].to_pylist(), float)
     if len(y) < 20 or y.min() == y.max():
         return None
     monotone = np.array(list(FEATURES.values()))
@@ -193,8 +194,9 @@ def judge(docs: DataFrame, model: Trees | None, *, text_col: str = "text", keep=
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, p_quality, kept.
 
     ``kept`` is false where the rules fail, else the model's verdict (true without a model).  Null
-    and empty texts have zero counts and fail the rules.  Repeated rows get equal results; no rows
-    give none.  Other input columns are dropped unless kept; those named like an output give way.
+    and empty texts have zero counts and fail the rules.  Texts of any length are counted whole; a
+    probability at the cut is kept.  Repeated rows get equal results; no rows give none.  Other input
+    columns are dropped unless kept; those named like an output give way.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

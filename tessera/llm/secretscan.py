@@ -28,12 +28,14 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?<!secret_)(?:client_?id|access_?key(?:_?id)?|user(?:name)?|login|account)["']? *[:=] *["']?([A-Za-z0-9@._-]{3,})""", re.IGNORECASE | re.ASCII)
 ENDPOINT = re.compile(r"""\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqps?|ftp|ssh)://[^\s"'<>]{4,}""", re.IGNORECASE | re.ASCII)
 SECRET_KEY = re.compile(r"""secret_?access_?key["']? *[:=] *["']?[A-Za-z0-9+/_.=-]+""", re.IGNORECASE | re.ASCII)
+#: Code points of a weak part at least, its name included: shorter ones say nothing.
+LEAST = 8
 SCOPE = re.compile(r"\n[ \t]*\n")
 ROLE = {"access": "id", "identifier": "id", "assign": "secret", "hex": "secret", "secret": "secret", "endpoint": "endpoint"}
 FIELDS = fields("spans array<struct<kind:string,start:bigint,end:bigint,link:bigint,base:boolean>>")
 
 
-def candidates(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+def candidates(text: str, least: int = LEAST) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Strong and weak candidates as (start, end, kind)."""
     strong, weak = [], []
     if "=" in text or ":" in text:
@@ -46,13 +48,16 @@ def candidates(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, i
         for m in ACCESS.finditer(text):
             (strong if m.end() - m.start() >= 18 else weak).append((*m.span(), "access" if m.end() - m.start() >= 18 else "identifier"))
     strong += [(*m.span(), "hex") for m in HEX.finditer(text)]
-    return strong, [w for w in weak if w[1] - w[0] >= 8]
+    return strong, [w for w in weak if w[1] - w[0] >= least]
 
 
-def find(text: str) -> list[tuple[str, int, int, int | None, bool]]:
+def find(text: str, least: int = LEAST) -> list[tuple[str, int, int, int | None, bool]]:
     """Spans as (kind, start, end, link, base) by start, then kind; link is the start of the nearest
-    part of another role in the same scope, or None."""
-    strong, weak = candidates(text)
+    part of another role in the same scope (ties: the lower start), or None.
+
+    Links hold both ways within a scope, so whatever a reported part links to is reported too.
+    """
+    strong, weak = candidates(text, least)
     if not strong and not weak:
         return []
     cuts = [m.end() for m in SCOPE.finditer(text)] if len(strong) + len(weak) > 1 else []
@@ -80,17 +85,19 @@ def find(text: str) -> list[tuple[str, int, int, int | None, bool]]:
     return [(kind, a, b, to, base) for a, kind, b, to, base in found]
 
 
-def scan(docs: DataFrame, *, text_col: str = "text", keep=("doc_id",)) -> DataFrame:
+def scan(docs: DataFrame, *, text_col: str = "text", keep=("doc_id",), least: int = LEAST) -> DataFrame:
     """Adds spans: array of (kind, start, end, link, base), code points with the end left out.
 
-    Null and empty texts have no spans (an empty array).  Repeated rows give repeated results; no
-    rows give none.
+    ``least`` is the shortest weak part in code points.  Null and empty texts have no spans (an empty
+    array).  Texts of any length are searched whole.  Spans that begin together come in the order of
+    KINDS.  Repeated rows give repeated results; no rows give none.  Input columns other than those of
+    ``keep`` are dropped, and one of those named spans gives way.
     """
 
     def make():
         def kernel(texts: pa.Array) -> dict:
             names = ("kind", "start", "end", "link", "base")
-            return {"spans": [[dict(zip(names, s)) for s in find(t)] for t in as_text(texts)]}
+            return {"spans": [[dict(zip(names, s)) for s in find(t, least)] for t in as_text(texts)]}
 
         return kernel
 
