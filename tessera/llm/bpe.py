@@ -58,10 +58,31 @@ class Pieces(dict):
         raise Unsafe(piece)
 
 
+def tested(got: dict) -> dict:
+    """The file's model, if this method gives its results: byte-level BPE without a normaliser, ranks by
+    merges alone, special tokens found as they stand.  Anything else is refused by name."""
+    model, split = got.get("model") or {}, got.get("pre_tokenizer") or {}
+    if model.get("type", "BPE") != "BPE" or "merges" not in model:
+        raise ValueError("the tokenizer's model isn't BPE")
+    if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or split.get("use_regex", True) is not True:
+        raise ValueError("the tokenizer's pre-tokenizer isn't the byte-level word pattern")
+    if got.get("normalizer"):
+        raise ValueError("the tokenizer has a normalizer")
+    for name in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"):
+        if model.get(name) and not (name == "unk_token" and any(t["content"] == model[name] for t in got.get("added_tokens", ()))):
+            raise ValueError(f"the tokenizer's model has {name}")
+    for t in got.get("added_tokens", ()):
+        if t.get("single_word") or t.get("lstrip") or t.get("rstrip") or (t.get("normalized") and not t.get("special")):
+            raise ValueError(f"the tokenizer's token {t['content']!r} isn't matched as it stands")
+    if (got.get("decoder") or {}).get("type") != "ByteLevel":
+        raise ValueError("the tokenizer's decoder isn't byte-level")
+    return model
+
+
 class SpeculativeBpe:
     def __init__(self, spec: bytes, most_cached: int = 600_000):
         got = json.loads(spec)
-        model = got["model"]
+        model = tested(got)
         back = byte_alphabet()
         self.special = {t["content"]: t["id"] for t in got["added_tokens"]}
         self._specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -83,6 +104,10 @@ class SpeculativeBpe:
             self.merge.setdefault((x, y), (r, z))
             if self.rank[z] < 0:
                 self.left[z], self.right[z], self.rank[z] = x, y, r
+        long = np.array([z for z in vocab.values() if len(self.token_bytes[z]) > 1], np.int64)
+        parts = np.maximum(self.rank[self.left[long]], self.rank[self.right[long]])
+        if (self.rank[long] < 0).any() or (parts >= self.rank[long]).any():
+            raise ValueError("some token of the tokenizer isn't made by one merge of older parts")
         order = sorted(self.merge.items())
         self.pair_key = np.array([(x << 20) | y for (x, y), _ in order], np.int64)
         self.pair_rank = np.array([r for _, (r, _) in order], np.int64)
@@ -352,8 +377,10 @@ def transcode(docs: DataFrame, tokenizer: str, *, text_col: str = "text", keep=(
     """Encode each whole text and decode its ids again: columns ids array<int>, decoded string.
 
     ``tokenizer`` is the path of a byte-level BPE file.  Null text counts as empty: no ids, "".
-    Special tokens in a text get their own ids, as the file's library does by default.  Repeated
-    rows give repeated results; no rows give none.
+    Special tokens in a text get their own ids, as the file's library does by default.  Words and texts
+    of any length are encoded whole; equal ranks merge from the left.  Repeated rows give repeated
+    results; no rows give none.  Input columns other than those of ``keep`` are dropped, and one of
+    those named like an output gives way.  A file that this method can't serve is refused.
     """
     spec = Spec(docs.sparkSession, tokenizer)
 

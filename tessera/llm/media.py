@@ -10,23 +10,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessera.errors import DataError
 from tessera.llm.common import as_bytes, fields, map_documents
+from tessera.sources import png
 
-#: The format's signature; samples per pixel by colour type.
-SIGNATURE = b"\x89PNG\r\n\x1a\n"
-SAMPLES = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 WIDTH = 64
 SMALL, LOW = 32, 8
 
 
-class BadImage(ValueError):
-    """The bytes aren't an image that this reader takes."""
-
-
-def _chunk(kind: bytes, body: bytes) -> bytes:
-    return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-
-
 def filter_rows(rows: np.ndarray) -> np.ndarray:
     """Each row behind its filter byte: of None, Sub and Up the one with the least sum of absolute
     residuals; ties take the first."""
@@ -46,93 +37,40 @@ def write_png(samples: np.ndarray, level: int = 6) -> bytes:
     """A grayscale image of 8-bit samples."""
     height, width = samples.shape
     body = zlib.compress(filter_rows(samples).tobytes(), level)
-    return SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + _chunk(b"IDAT", body) + _chunk(b"IEND", b"")
-
-
-def _paeth(raw: np.ndarray, above: np.ndarray, bpp: int) -> np.ndarray:
-    row, up = [0] * bpp + raw.tolist(), [0] * bpp + above.tolist()
-    for i in range(bpp, len(row)):
-        a, b, c = row[i - bpp], up[i], up[i - bpp]
-        pa_, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-        row[i] = row[i] + (a if pa_ <= pb and pa_ <= pc else b if pb <= pc else c) & 255
-    return np.array(row[bpp:], np.uint8)
-
-
-def _average(raw: np.ndarray, above: np.ndarray, bpp: int) -> np.ndarray:
-    row, up = [0] * bpp + raw.tolist(), [0] * bpp + above.tolist()
-    for i in range(bpp, len(row)):
-        row[i] = row[i] + (row[i - bpp] + up[i]) // 2 & 255
-    return np.array(row[bpp:], np.uint8)
-
-
-def unfilter(filtered: np.ndarray, bpp: int) -> np.ndarray:
-    """Undo the row filters.  Sub rows are running sums along the row, runs of Up rows running sums
-    down the columns; Average and Paeth depend on every sample before and go one by one."""
-    kinds, out = filtered[:, 0], filtered[:, 1:].copy()
-    if kinds.max(initial=0) > 4:
-        raise BadImage("unknown filter")
-    subs = np.flatnonzero(kinds == 1)
-    if len(subs):
-        x = out[subs].reshape(len(subs), -1, bpp)
-        out[subs] = np.cumsum(x, 1, dtype=np.uint8).reshape(len(subs), -1)
-    edges = np.flatnonzero(np.diff(kinds.astype(np.int16))) + 1
-    for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(kinds)]):
-        kind = kinds[lo]
-        if kind == 2:
-            first = max(lo - 1, 0)
-            out[first:hi] = np.cumsum(out[first:hi], 0, dtype=np.uint8)
-        elif kind > 2:
-            f = _average if kind == 3 else _paeth
-            for y in range(lo, hi):
-                out[y] = f(out[y], out[y - 1] if y else np.zeros_like(out[0]), bpp)
-    return out
+    return png.SIGNATURE + png.chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + png.chunk(b"IDAT", body) + png.chunk(b"IEND", b"")
 
 
 def read_png(data: bytes, most_bytes: int = 1 << 31) -> np.ndarray:
     """Samples as (height, width, samples per pixel) of an 8-bit, not interlaced image.
 
     Tests the signature, every chunk's CRC-32, the order of chunks, and the exact inflated length.
+    ``most_bytes`` bounds what a header may ask to inflate; a longer image is refused, not cut.
     """
-    if data[:8] != SIGNATURE:
-        raise BadImage("no signature")
-    at, header, body, ended = 8, None, [], False
-    while at < len(data):
-        if ended or at + 12 > len(data):
-            raise BadImage("truncated or trailing bytes")
-        n, kind = struct.unpack(">I4s", data[at : at + 8])
-        if at + 12 + n > len(data):
-            raise BadImage("truncated chunk")
-        piece = data[at + 8 : at + 8 + n]
-        if struct.unpack(">I", data[at + 8 + n : at + 12 + n])[0] != zlib.crc32(piece, zlib.crc32(kind)):
-            raise BadImage("bad CRC")
-        if (kind == b"IHDR") != (header is None):
-            raise BadImage("header out of place")
+    if data[: len(png.SIGNATURE)] != png.SIGNATURE:
+        raise DataError("no signature")
+    header, body, ended = None, [], False
+    for kind, piece, _ in png.walk(data):
+        if ended or (kind == b"IHDR") != (header is None):
+            raise DataError("chunk out of place")
         if kind == b"IHDR":
-            header = struct.unpack(">IIBBBBB", piece)
+            header = struct.unpack(">IIBBBBB", piece) if len(piece) == 13 else (0,) * 7
         elif kind == b"IDAT":
             body.append(piece)
         elif kind == b"IEND":
             ended = True
         elif not kind[0] & 32 and kind != b"PLTE":
-            raise BadImage("unknown critical chunk")
-        at += 12 + n
+            raise DataError("unknown critical chunk")
     if header is None or not ended or not body:
-        raise BadImage("incomplete")
+        raise DataError("incomplete")
     width, height, depth, colour, packing, filtering, interlace = header
-    if depth != 8 or colour not in SAMPLES or packing or filtering or interlace or not width or not height:
-        raise BadImage("form not taken")
-    bpp = SAMPLES[colour]
+    if depth != 8 or colour not in png.SAMPLES or packing or filtering or interlace or not width or not height:
+        raise DataError("form not taken")
+    bpp = png.SAMPLES[colour]
     want = height * (1 + width * bpp)
     if want > most_bytes:
-        raise BadImage("too large")
-    inflater = zlib.decompressobj()
-    try:
-        raw = inflater.decompress(b"".join(body), want + 1)
-    except zlib.error as e:
-        raise BadImage(str(e)) from None
-    if len(raw) != want or inflater.unused_data:
-        raise BadImage("wrong length")
-    return unfilter(np.frombuffer(raw, np.uint8).reshape(height, -1), bpp).reshape(height, width, bpp)
+        raise DataError("too large")
+    raw = png.inflate(b"".join(body), want)
+    return png.defilter(np.frombuffer(raw, np.uint8).reshape(height, -1), bpp).reshape(height, width, bpp)
 
 
 @functools.lru_cache(maxsize=1)
@@ -170,7 +108,9 @@ def to_samples(raw: bytes) -> np.ndarray:
 def store_as_png(docs: DataFrame, *, text_col: str = "text", keep=("doc_id",), level: int = 6) -> DataFrame:
     """Adds media (binary): the UTF-8 bytes of a text, padded with zeros to a positive multiple of 64,
     as a grayscale image 64 wide, and n_bytes, their unpadded number.  Null text counts as empty (64
-    zeros); equal texts give equal images; no rows give none."""
+    zeros); texts of any length are stored whole; equal texts and repeated rows give equal images; of
+    filters that leave equal residuals the first is taken; no rows give none.  Input columns other than
+    those of ``keep`` are dropped, and one of those named like an output gives way."""
 
     def make():
         def kernel(texts: pa.Array) -> dict:
@@ -186,7 +126,8 @@ def read_images(images: DataFrame, *, media_col: str = "media") -> DataFrame:
     """Adds payload (binary, the samples), feature (hex of the cosine hash) and error.
 
     A null or damaged image gives null payload and feature and says why in error; the job goes on.
-    Colour images are hashed by the mean of their samples.  Columns named like the outputs give way.
+    Colour images are hashed by the mean of their samples; frequencies equal to the median count as not
+    above it.  Columns named like the outputs give way.  Images of over 2 GiB of samples are refused.
     """
     out = fields("payload binary, feature string, error string")
     names = {f.name for f in out}
@@ -200,10 +141,10 @@ def read_images(images: DataFrame, *, media_col: str = "media") -> DataFrame:
             for data in batch.column(at).to_pylist():
                 try:
                     if data is None:
-                        raise BadImage("null")
+                        raise DataError("null")
                     samples = read_png(data)
                     made = samples.tobytes(), cosine_hash(samples.mean(2) if samples.shape[2] > 1 else samples[:, :, 0]).hex(), None
-                except BadImage as e:
+                except DataError as e:
                     made = None, None, str(e)
                 for column, value in zip((payload, feature, error), made):
                     column.append(value)
