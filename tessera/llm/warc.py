@@ -11,8 +11,6 @@ import base64
 import hashlib
 import html
 import re
-import string
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,14 +19,15 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import arrow_type, fields
 
-#: What begins with <: a comment, or a tag with its name and attributes, or a declaration.
-MARK = re.compile(r"""<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*)>|<[!?/](?:[^<>"']|"[^"<]*"|'[^'<]*')*>""")
+#: What begins with <: a tag with its name and attributes, a comment, or a declaration.
+INSIDE = r"""[^<>"']*+(?:(?:"[^"<]*+"|'[^'<]*+')[^<>"']*+)*+"""
+MARK = re.compile(rf"""<(?:(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({INSIDE})>|!--|[!?/]{INSIDE}>)""")
 #: An attribute; values may be bare.
 ATTRIBUTE = re.compile(r"""([^\s"'<>=/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+)))?""")
 #: Elements whose content isn't text, and those that begin a line.
 HIDDEN = {"script", "style", "noscript", "template"}
 BLOCK = set("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 article section nav header footer title blockquote pre hr main aside dl dt dd form figure".split())
-LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+CLOSES = {name: re.compile(f"</{name}", re.IGNORECASE | re.ASCII) for name in HIDDEN}
 BLANK = re.compile(r"[ \t\x0b\f\r\xa0]+")
 #: The date of responses whose table has none.
 DATE = "2024-01-01T00:00:00Z"
@@ -55,55 +54,57 @@ def urn(*parts: str) -> str:
     return f"<urn:uuid:{h[:8]}-{h[8:12]}-5{h[13:16]}-a{h[17:20]}-{h[20:32]}>"
 
 
-def marks(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
-    """Comments and tags as (start, end, name, closing, attributes); comments and declarations have no
-    name.  A hidden element is one mark up to and with its closing tag, or to the end of the page."""
-    at, low = 0, None
-    while m := MARK.search(page, at):
-        name = (m[2] or "").lower()
-        end = m.end()
-        if m[0] == "<!--":
-            end = page.find("-->", end)
-            end = len(page) if end < 0 else end + 3
-        elif name in HIDDEN and not m[1]:
-            low = page.translate(LOWER) if low is None else low
-            close = low.find(f"</{name}", end)
-            tail = low.find(">", close) if close >= 0 else -1
-            end = tail + 1 if tail >= 0 else len(page)
-        yield m.start(), end, name, bool(m[1]), m[3] or ""
-        at = end
-
-
 def attribute(text: str, name: str) -> str | None:
     """The first attribute of that name."""
-    return next((next((v for v in m.groups()[1:] if v is not None), "") for m in ATTRIBUTE.finditer(text) if m[1].lower() == name), None)
+    for found, double, single, bare in ATTRIBUTE.findall(text):
+        if found.lower() == name:
+            return double or single or bare
+    return None
 
 
 def read(page: str) -> tuple[str, str, list[str], str]:
     """Title, language, distinct links in order, and the visible text: one line per block, entities
-    resolved, white space collapsed, empty lines dropped."""
+    resolved, white space collapsed, empty lines dropped.
+
+    A comment ends the page if nothing closes it, and so does a hidden element.
+    """
     parts, at, title, language, links = [], 0, None, None, {}
     began = None  # where the title's text begins
-    for start, end, name, closing, text in marks(page):
-        parts.append(page[at:start])
+    search, add = MARK.search, parts.append
+    while m := search(page, at):
+        start, end = m.span()
+        closing, name, attributes = m.groups()
+        add(page[at:start])
         if began is not None:
             title, began = page[began:start], None
-        if name in HIDDEN:
-            parts.append(" ")
-        elif name in BLOCK:
-            parts.append("\n")
-        if name == "title" and not closing and title is None:
-            began = end
-        elif name == "html" and not closing and language is None:
-            language = attribute(text, "lang")
-        elif name == "a" and not closing and (href := attribute(text, "href")) is not None:
-            links[html.unescape(href)] = None
+        if name is None:
+            if m[0] == "<!--":
+                end = page.find("-->", end)
+                end = len(page) if end < 0 else end + 3
+        else:
+            name = name.lower()
+            if name in BLOCK:
+                add("\n")
+                if name == "title" and not closing and title is None:
+                    began = end
+            elif name in HIDDEN:
+                add(" ")
+                if not closing:
+                    close = CLOSES[name].search(page, end)
+                    tail = page.find(">", close.end()) if close else -1
+                    end = tail + 1 if tail >= 0 else len(page)
+            elif attributes and not closing:
+                if name == "a":
+                    if (href := attribute(attributes, "href")) is not None:
+                        links[html.unescape(href)] = None
+                elif name == "html" and language is None:
+                    language = attribute(attributes, "lang")
         at = end
-    parts.append(page[at:])
+    add(page[at:])
     if began is not None:
         title = page[began:]
-    lines = (BLANK.sub(" ", line).strip() for line in html.unescape("".join(parts)).split("\n"))
-    return BLANK.sub(" ", html.unescape(title or "")).strip(), language or "", list(links), "\n".join(line for line in lines if line)
+    lines = (line.strip() for line in BLANK.sub(" ", html.unescape("".join(parts))).split("\n"))
+    return BLANK.sub(" ", html.unescape(title or "")).strip(), language or "", list(links), "\n".join(filter(None, lines))
 
 
 def about(title: str, language: str, links: list[str]) -> bytes:
