@@ -173,16 +173,16 @@ def strongest(a: np.ndarray, b: np.ndarray, toxic: float, clean: float, most: in
 def grouped(codes: np.ndarray, of: np.ndarray, y: np.ndarray, words: np.ndarray, groups: int, rounds: int = 20) -> np.ndarray:
     """A column for each group: which toxic rows belong to it, by the presence of words that are commoner
     in toxic rows.  Rows without such a word belong to none.  Larger groups come first."""
-    n, out = len(y), np.zeros((len(y), groups))
+    out = np.zeros((len(y), groups))
     place = np.full(int(codes.max(initial=-1)) + 1, -1)
     place[words] = np.arange(len(words))
-    there = place[codes] >= 0
-    has = np.zeros((n, len(words)), np.float32)
-    has[of[there], place[codes[there]]] = 1
-    toxic = y == 1
-    telling = has[toxic].mean(0) > has[~toxic].mean(0) if toxic.any() and not toxic.all() else np.zeros(len(words), bool)
-    rows = np.flatnonzero(toxic)
-    x = has[rows][:, telling]
+    at, toxic = place[codes], y == 1
+    a, b = (np.bincount(at[(at >= 0) & (toxic[of] == k)], minlength=len(words)) for k in (True, False))
+    place[words[a * (~toxic).sum() <= b * toxic.sum()]] = -1
+    at = place[codes]
+    rows, own = np.flatnonzero(toxic), np.flatnonzero((at >= 0) & toxic[of])
+    x = np.zeros((len(rows), len(words)), np.float32)
+    x[np.searchsorted(rows, of[own]), at[own]] = 1
     x *= np.log1p(len(rows) / np.maximum(x.sum(0), 1))
     size = np.sqrt((x * x).sum(1))
     rows, x = rows[size > 0], x[size > 0] / size[size > 0, None]
