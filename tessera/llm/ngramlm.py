@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from tessera.llm.common import arrow_type, as_bytes, fields, slices
 from tessera.storage import keep
 
-CHUNK_BYTES, MESSAGE_BYTES = 12 << 20, 4 << 10
+CHUNK_BYTES, MESSAGE_BYTES = 8 << 20, 4 << 10
 LEAST_RANGES = 64
 BUCKETS = 24
 BLOCKS = 16  # parts of a chunk that are set aside in turn
