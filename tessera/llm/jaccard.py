@@ -311,6 +311,7 @@ def over_groups(members: DataFrame, key: str, most: int, rows: DataFrame, out: l
     order = [key, "i", "j", "side", "rid"]
     if big.isEmpty():
         return per_group(members.select(key, *zero("i", "j", "side"), "rid").join(rows, "rid"), [key, "i", "j"], out, work)
+    rows = keep(rows)
     placed = beside(members, big, key, "left")
     small = placed.where("__blocks is null").select(key, *zero("i", "j", "side"), "rid")
     large = placed.where("__blocks is not null").withColumn("__own", F.pmod(F.xxhash64("rid"), F.col("__blocks")))
@@ -620,11 +621,20 @@ def keep_one(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_c
     placed = beside(rows, roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     best = placed.groupBy("root").agg(F.min(F.struct("nameless", "name", *KEYS)).alias("best"))
     gone = beside(placed, best, "root").where(~(F.col(KEYS[0]) == F.col(f"best.{KEYS[0]}")) | ~(F.col(KEYS[1]) == F.col(f"best.{KEYS[1]}")))
-    keyed = docs.select(*[f"`{c}`" for c in docs.columns], *_row_keys(id_col, text_col))
-    left = keyed.join(keep(gone.select(*KEYS).distinct()), list(KEYS), "left_anti")
+    gone = keep(gone.select(*KEYS).distinct())
     repeated = keep(rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*KEYS))
+    # only rows that a filter of the keys lets pass have to meet the keys themselves
+    keyed = docs.select(*[f"`{c}`" for c in docs.columns], *_row_keys(id_col, text_col))
+    found = docs.sparkSession.sparkContext.broadcast(_bits_of(gone.union(repeated).withColumnRenamed(KEYS[0], "h")))
+    at = len(docs.columns)
+
+    def flag(batches):
+        for batch in batches:
+            passes = _passes(found.value, batch.column(at).to_numpy(zero_copy_only=False))
+            yield batch.append_column("__doubt", pa.array(passes))
+
+    flagged = keyed.mapInArrow(flag, T.StructType([*keyed.schema.fields, *fields("__doubt boolean")]))
     columns = [f"`{c}`" for c in docs.columns]
-    if repeated.isEmpty():
-        return left.select(*columns)
-    once = left.join(repeated, list(KEYS), "left_semi").dropDuplicates(list(KEYS))
-    return left.join(repeated, list(KEYS), "left_anti").select(*columns).unionByName(once.select(*columns))
+    left = flagged.where("__doubt").join(gone, list(KEYS), "left_anti")
+    left = left if repeated.isEmpty() else left.dropDuplicates(list(KEYS))
+    return flagged.where("not __doubt").select(*columns).unionByName(left.select(*columns))
