@@ -50,7 +50,7 @@ class Features(dict):
         self.heads = {x[: GRAMS[0]] for x in self.grams}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 250_000:
+        if len(self) > 100_000:
             self.clear()
         grams, heads, least, marked = self.grams, self.heads, GRAMS[0], f"<{word}>"
         made = [self.words[word]] if word in self.words else []
@@ -135,8 +135,8 @@ class Vocabulary:
     def __init__(self, lists: pa.ListArray):
         coded = pc.dictionary_encode(lists.flatten())
         self.words = coded.dictionary.to_pylist()
-        self.codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.of = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        self.codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+        self.of = np.repeat(np.arange(len(lists), dtype=np.int32), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
         ids: dict[str, int] = {}
         flat, ends = array("i"), [0]
         for w in self.words:
@@ -153,12 +153,12 @@ class Vocabulary:
         for a, b in zip(cuts, cuts[1:]):
             codes, sizes = self.codes[a:b], self.sizes[self.codes[a:b]]
             at = np.repeat(self.starts[codes] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-            grams, rows = self.flat[at].astype(np.int64), np.repeat(self.of[a:b], sizes)
+            grams, rows = self.flat[at], np.repeat(self.of[a:b], sizes)
             if chosen is not None:
                 kept = chosen[grams]
                 grams, rows = grams[kept], rows[kept]
-            pairs = np.unique(rows * len(self.grams) + grams)
-            yield pairs % len(self.grams), pairs // len(self.grams)
+            pairs = np.unique(rows.astype(np.int64) * len(self.grams) + grams)
+            yield (pairs % len(self.grams)).astype(np.int32), (pairs // len(self.grams)).astype(np.int32)
 
 
 def strongest(a: np.ndarray, b: np.ndarray, toxic: float, clean: float, most: int) -> np.ndarray:
@@ -205,13 +205,13 @@ def grouped(codes: np.ndarray, of: np.ndarray, y: np.ndarray, words: np.ndarray,
     return out
 
 
-def fit_rows(known: Vocabulary, y: np.ndarray, named: np.ndarray | None, names: tuple[str, ...], folds: int, most_words: int, most_grams: int) -> tuple[Chain, np.ndarray]:
+def fit_rows(lists: pa.ListArray, y: np.ndarray, named: np.ndarray | None, names: tuple[str, ...], folds: int, most_words: int, most_grams: int) -> tuple[Chain, np.ndarray]:
     """The chain of all rows, and the probabilities that chains without a row's fold give the row.
 
     Such a chain chooses its features, and finds its groups, without that fold as well.  ``named`` has
     the columns of given categories.
     """
-    n, fold = len(y), np.arange(len(y)) % folds
+    n, fold, known = len(y), np.arange(len(y)) % folds, Vocabulary(lists)
     codes, of = known.codes, known.of
     # a column per fold and label, so that what a fold leaves is a sum of columns
     group = fold * 2 + y.astype(np.int64)
@@ -235,15 +235,18 @@ def fit_rows(known: Vocabulary, y: np.ndarray, named: np.ndarray | None, names:
     for _, _, grams in picks:
         wanted[grams] = True
     parts = list(known.present(wanted))
-    gram, gram_of = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (list(zip(*parts)) or [(), ()]))
+    gram, gram_of = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (list(zip(*parts)) or [(), ()]))
+    chosen = [[*(known.words[i] for i in words), *(" " + known.grams[i] for i in grams)] for _, words, grams in picks]
+    sizes = len(known.words), len(known.grams)
+    del known, parts, lists  # fitting needs the numbers alone
     held, chain = np.zeros(n), None
-    for inside, words, grams in picks:
-        index = {name: i for i, name in enumerate([*(known.words[i] for i in words), *(" " + known.grams[i] for i in grams)])}
-        to_word, to_gram = np.full(len(known.words), -1), np.full(len(known.grams), -1)
+    for (inside, words, grams), features in zip(picks, chosen):
+        index = {name: i for i, name in enumerate(features)}
+        to_word, to_gram = (np.full(k, -1, np.int32) for k in sizes)
         to_word[words], to_gram[grams] = np.arange(len(words)), len(words) + np.arange(len(grams))
         flat, rows = np.concatenate([to_word[codes], to_gram[gram]]), np.concatenate([of, gram_of])
         rows, flat = rows[flat >= 0], flat[flat >= 0]
-        own, new = inside[rows], np.cumsum(inside) - 1
+        own, new = inside[rows], np.cumsum(inside, dtype=np.int32) - 1
         here = inside[of]
         finer = named[inside] if named is not None else grouped(codes[here], new[of[here]], y[inside], words, len(names) - 1)
         fitted = fit_chain(names, index, flat[own], new[rows[own]], int(inside.sum()), np.column_stack([finer, y[inside]]))
@@ -298,7 +301,9 @@ def train(
     if len(y) < 20 or y.min() == y.max():
         return None
     named = np.stack([np.array(rows[f"__c{i}"].to_pylist(), float) for i in range(len(categories))], 1) if categories else None
-    model, held = fit_rows(Vocabulary(rows["words"].combine_chunks()), y, named, names_of(categories, groups), 3, most_words, most_grams)
+    lists = [rows["words"].combine_chunks()]
+    del rows
+    model, held = fit_rows(lists.pop(), y, named, names_of(categories, groups), 3, most_words, most_grams)
     model.cut = fit_cut(held, y, lost)
     return model
 
