@@ -80,7 +80,7 @@ def tested(got: dict) -> dict:
 
 
 class SpeculativeBpe:
-    def __init__(self, spec: bytes, most_cached: int = 600_000):
+    def __init__(self, spec: bytes, most_cached: int = 300_000):
         got = json.loads(spec)
         model = tested(got)
         back = byte_alphabet()

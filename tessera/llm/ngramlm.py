@@ -49,7 +49,7 @@ class Hashes(dict):
     """64-bit hash of each word; forgets all when full."""
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) > 250_000:
+        if len(self) > 120_000:
             self.clear()
         self[word] = made = hashlib.blake2b(word, digest_size=8).digest()
         return made
