@@ -37,6 +37,7 @@ WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHIT
 BORDER = "\u0100"
 NEVER = np.int64(1 << 40)
 LONG_WORD = 48
+CACHED = 600_000  # words and pieces that a worker keeps, 150 bytes each
 ENDS = ".,;:!?"
 
 
@@ -80,7 +81,7 @@ def tested(got: dict) -> dict:
 
 
 class SpeculativeBpe:
-    def __init__(self, spec: bytes, most_cached: int = 300_000):
+    def __init__(self, spec: bytes, most_cached: int = CACHED):
         got = json.loads(spec)
         model = tested(got)
         back = byte_alphabet()
@@ -348,15 +349,16 @@ class SpeculativeBpe:
 
 
 @functools.lru_cache(maxsize=2)
-def _made(digest: str, read: Callable[[], bytes]) -> SpeculativeBpe:
-    return SpeculativeBpe(read())
+def _made(digest: str, read: Callable[[], bytes], most_cached: int) -> SpeculativeBpe:
+    return SpeculativeBpe(read(), most_cached)
 
 
 class Spec:
     """A tokenizer file's content, sent to the executors once; its size is fixed (about 1.5 MB)."""
 
-    def __init__(self, spark, path: str):
+    def __init__(self, spark, path: str, most_cached: int = CACHED):
         content = Path(path).read_bytes()
+        self.most_cached = most_cached
         self.digest = hashlib.sha256(content).hexdigest()
         self.shared = spark.sparkContext.broadcast(content)
 
@@ -370,7 +372,7 @@ class Spec:
         return isinstance(other, Spec) and other.digest == self.digest
 
     def encoder(self) -> SpeculativeBpe:
-        return _made(self.digest, self)
+        return _made(self.digest, self, self.most_cached)
 
 
 def transcode(docs: DataFrame, tokenizer: str, *, text_col: str = "text", keep=("doc_id",)) -> DataFrame:

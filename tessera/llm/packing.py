@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.bpe import Spec
+from tessera.llm.bpe import CACHED, Spec
 from tessera.llm.common import TEXT, as_text, fields, slices
 
 END_ID = 1
@@ -90,7 +90,7 @@ def assign(lengths: list[int], size: int, linear: float, quadratic: float, last:
 
 def pack(
     docs: DataFrame, tokenizer: str, *, size: int = 2048, linear: float = 1.0, quadratic: float = 1 / 2048,
-    group_tokens: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text",
+    group_tokens: int = 4 << 20, most_cached: int = CACHED, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Tokenise whole texts, end each with id 1, and pack them into sequences of ``size`` tokens.
 
@@ -98,9 +98,9 @@ def pack(
     sequence_id, offset.  Null and empty texts are the one id 1.  Null document ids pass through,
     repeated rows are packed each for itself, other input columns are dropped, whatever their names, no
     rows give none.  ``group_tokens`` bounds what is held at once; a single text is always held whole
-    and cut into pieces of at most ``size``.  Of equal lengths and costs the first comes first.
+    and cut into pieces of at most ``size``.  ``most_cached`` bounds the words that a worker keeps.  Of equal lengths and costs the first comes first.
     """
-    spec = Spec(docs.sparkSession, tokenizer)
+    spec = Spec(docs.sparkSession, tokenizer, most_cached)
     frame = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias(TEXT))
     out = T.StructType([frame.schema.fields[0], *fields("start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")])
     end = np.array([END_ID], "<u4").tobytes()
