@@ -75,7 +75,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are the end token alone; long texts are cut into pieces; repeated rows are packed
     each for itself; of equal lengths the first comes first.
     """
-    pieces = packing.pack(docs, tokenizer())
+    # one worker runs all stages, so the last one keeps fewer words than it would alone
+    pieces = packing.pack(docs, tokenizer(), most_cached=300_000)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
