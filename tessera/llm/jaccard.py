@@ -311,7 +311,6 @@ def over_groups(members: DataFrame, key: str, most: int, rows: DataFrame, out: l
     order = [key, "i", "j", "side", "rid"]
     if big.isEmpty():
         return per_group(members.select(key, *zero("i", "j", "side"), "rid").join(rows, "rid"), [key, "i", "j"], out, work)
-    rows = keep(rows)
     placed = beside(members, big, key, "left")
     small = placed.where("__blocks is null").select(key, *zero("i", "j", "side"), "rid")
     large = placed.where("__blocks is not null").withColumn("__own", F.pmod(F.xxhash64("rid"), F.col("__blocks")))
